@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.packing import pack_documents
 from strandlake.llm.radix import percentiles
+from strandlake.llm.reading import reading_levels
 from strandlake.llm.splitting import split_components
 from strandlake.llm.tokenizer import token_ids
 from strandlake.llm.topn import top_n
@@ -53,7 +54,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_percentiles, p5_found, p5_pieces, p7_ids, p8_containers)}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_label"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).select("doc_id", "read_level")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_percentiles, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
 
 _P = ", ".join(PEAK)
 _USABLE = "{0} >= 0 and not isnan({0}) and not isinf({0})"
