@@ -65,3 +65,11 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str], mark: str = "
     for n in names:
         cond = cond & left[n].eqNullSafe(marked[mark + n])
     return cond, marked
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row, however often and wherever later steps use it.
+
+    Filters are not moved through a generator, so the optimizer can't copy the expression into them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

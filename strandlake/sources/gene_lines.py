@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import with_once
 from strandlake.sources.rows import Field, RowSchema, integers, with_new_names
 
 _INT = {"kind": "integer", "reason": "integer"}
@@ -34,10 +35,8 @@ def read_gene_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     records = kept.withColumn("_sl_text", text).where(
         F.col("_sl_text").isNotNull() & ~F.col("_sl_text").rlike(r"\A(?:[ \t]*+\z|#|track |browser )")
     )
-    checked = records.withColumn("_sl_bad", BED12.failure(F.col("_sl_text"))).withColumn(
-        "_sl_v", F.when(F.col("_sl_bad").isNull(), BED12.values(F.col("_sl_text")))
-    )
-    typed = checked
+    checked = with_once(records, "_sl_bad", BED12.failure(F.col("_sl_text")))
+    typed = with_once(checked, "_sl_v", F.when(F.col("_sl_bad").isNull(), BED12.values(F.col("_sl_text"))))
     for i, f in enumerate(BED12.fields):
         v = F.col("_sl_v")[i]
         typed = typed.withColumn(f.name, integers(v) if f.kind == "integers" else v.cast("bigint") if f.kind == "integer" else v)
@@ -54,7 +53,7 @@ def read_gene_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
         )
         .when(outside, F.lit("range"))
     )
-    out = typed.withColumn("reason", F.coalesce(F.col("_sl_bad")["reason"], F.when(F.col("_sl_bad").isNull(), meaning)))
+    out = with_once(typed, "reason", F.coalesce(F.col("_sl_bad")["reason"], F.when(F.col("_sl_bad").isNull(), meaning)))
     out = out.withColumn("broken_field", F.col("_sl_bad")["field"])
     typed_only = [F.when(F.col("reason").isNull(), F.col(f.name)).alias(f.name) for f in BED12.fields]
     return out.select(*kept.columns, "reason", "broken_field", *typed_only)
