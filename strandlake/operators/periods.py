@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,56 +28,63 @@ _SCHEMA = (
 )
 
 
-def _range_rows(part: int, entity: str, pos: np.ndarray, n_start: np.ndarray, n_end: np.ndarray) -> pa.RecordBatch:
-    starts_ranked, ends_ranked = np.cumsum(n_start), np.cumsum(n_end)
-    surplus = int((ends_ranked - starts_ranked).max())
-    # The last end at pos has rank ends_ranked; the next-ranked start lies beyond pos.
-    at = np.flatnonzero(ends_ranked - starts_ranked == surplus)
-    after = at[at + 1 < len(pos)]
-    gaps = (pos[after], pos[after + 1])
-    periods = (pos[at[:-1] + 1], pos[at[1:]])
-    n_gap, n_per = len(after), len(at) - 1
-    n = 1 + n_gap + n_per
-    what = np.concatenate([[_RANGE], np.full(n_per, _PERIOD), np.full(n_gap, _GAP)]).astype("int32")
-    a = np.concatenate([[0], periods[0], gaps[0]]).astype("int64")
-    b = np.concatenate([[0], periods[1], gaps[1]]).astype("int64")
-
-    def once(value: int | None) -> pa.Array:
-        return pa.concat_arrays([pa.array([value], pa.int64()), pa.nulls(n - 1, pa.int64())])
-
-    tail = int(pos[at[-1] + 1]) if at[-1] + 1 < len(pos) else None
-    values = [starts_ranked[-1], ends_ranked[-1], surplus, pos[0], pos[-1], pos[at[0]]]
-    arrays = [pa.array(np.full(n, part, "int32")), pa.array([entity] * n, pa.string()), pa.array(what), pa.array(a), pa.array(b)]
-    arrays += [once(int(v)) for v in values[:2]]
-    arrays += [pa.array(np.full(n, surplus, "int64"))]
-    arrays += [once(int(v)) for v in values[3:]] + [once(tail)]
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+def _range_rows(part: int, names: np.ndarray, code: np.ndarray, pos: np.ndarray, n_start: np.ndarray, n_end: np.ndarray) -> pa.RecordBatch:
+    """Rows of the entities ``names`` whose events, in order, have the codes 0, 1, ... in ``code``."""
+    k, n = len(names), len(pos)
+    first = np.searchsorted(code, np.arange(k))
+    last = np.append(first[1:], n) - 1
+    before_s, before_e = (np.append(0, np.cumsum(c))[first] for c in (n_start, n_end))
+    # Ranks within the entity: the last end at pos has rank ends_ranked; the next-ranked start lies beyond pos.
+    starts_ranked, ends_ranked = np.cumsum(n_start) - before_s[code], np.cumsum(n_end) - before_e[code]
+    surplus = np.maximum.reduceat(ends_ranked - starts_ranked, first)
+    at = np.flatnonzero(ends_ranked - starts_ranked == surplus[code])
+    after = at[at != last[code[at]]]
+    pair = np.flatnonzero(code[at[1:]] == code[at[:-1]])
+    opens, closes = at[pair] + 1, at[pair + 1]
+    head = at[np.searchsorted(code[at], np.arange(k))]
+    tail = at[np.searchsorted(code[at], np.arange(k), "right") - 1]
+    open_tail = tail == last
+    own = np.arange(k)
+    entity = np.concatenate([own, code[opens], code[after]])
+    what = np.repeat(np.array([_RANGE, _PERIOD, _GAP], "int32"), [k, len(opens), len(after)])
+    zero = np.zeros(k, "int64")
+    a, b = np.concatenate([zero, pos[opens], pos[after]]), np.concatenate([zero, pos[closes], pos[after + 1]])
+    rest = pa.nulls(len(entity) - k, pa.int64())
+
+    def ranges(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+        return pa.concat_arrays([pa.array(values.astype("int64"), mask=mask), rest])
+
+    arrays = [pa.array(np.full(len(entity), part, "int32")), pa.array(names, pa.string()).take(pa.array(entity)), pa.array(what), pa.array(a), pa.array(b)]
+    arrays += [ranges(v) for v in (starts_ranked[last], ends_ranked[last], surplus, pos[first], pos[last], pos[head])]
+    arrays += [ranges(pos[np.minimum(tail + 1, n - 1)], open_tail)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
 def _work_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    entity, held = None, []
+    held: list[pa.RecordBatch] = []
 
-    def flush() -> pa.RecordBatch:
-        return _range_rows(part, entity, *(np.concatenate([h[i] for h in held]) for i in range(3)))
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        found = table.column(0).chunk(0).dictionary_encode()
+        return _range_rows(
+            part, found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(), *(table.column(i).to_numpy() for i in (1, 2, 3))
+        )
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = batch.column(0).dictionary_encode()
-        codes = names.indices.to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-        columns = [batch.column(i).to_numpy() for i in (1, 2, 3)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            name = names.dictionary[int(codes[lo])].as_py()
-            if held and name != entity:
-                yield flush()
-                held = []
-            entity = name
-            held.append([c[lo:hi] for c in columns])
+        # Whole entities are worked through; the last one may go on in the next batch.
+        same = pc.equal(batch.column(0), batch.column(0)[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.argmax(same))
+        goes_on = bool(held) and held[-1].column(0)[-1] == batch.column(0)[-1]
+        if not goes_on and (held or cut):
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield flush(done)
+            held = []
+        held.append(batch if goes_on else batch.slice(cut))
     if held:
-        yield flush()
+        yield flush(held)
 
 
 def periods_and_gaps(df: DataFrame, entity: str = "chrom", start: str = "start_pos", end: str = "end_pos") -> DataFrame:
