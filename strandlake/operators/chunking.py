@@ -95,3 +95,28 @@ def key_totals(
             partial += [F.max(F.when(F.col(order).isNotNull(), F.struct(order, c))).alias(f"_sl_last_{c}")]
             merged += [F.min(f"_sl_first_{c}")[c].alias(f"first_{c}"), F.max(f"_sl_last_{c}")[c].alias(f"last_{c}")]
     return rows.groupBy(*keys, CHUNK).agg(*partial).groupBy(*keys).agg(*merged)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Sequence[str] = ()) -> DataFrame:
+    """Adds ``row_no`` (from 1, by ``order`` within the key) and ``run_<v>`` for every value.
+
+    Rows are cut into ranges of (keys, order), so a key of any size is spread over many tasks; a range
+    starts from the totals of the ranges before it. Nulls add nothing to a running sum.
+    """
+    keys = list(keys)
+    by = [*[F.col(k) for k in keys], *order]
+    rows = stage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(ROW, F.monotonically_increasing_id()), "ordered")
+    parts = rows.df.withColumn(PART, F.shiftright(ROW, 33))
+    per_part = parts.groupBy(*keys, PART).agg(F.count("*").alias("_sl_n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sl_t_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_sl_n": "_sl_b", **{f"_sl_t_{v}": f"_sl_b_{v}" for v in values}}
+    offsets = stage(per_part.select(*keys, PART, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()]), "offsets")
+    local = Window.partitionBy(*keys, PART).orderBy(ROW)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    inside = parts.withColumns(
+        {"row_no": F.row_number().over(local), **{f"run_{v}": F.coalesce(F.sum(v).over(upto), F.lit(0)) for v in values}}
+    )
+    cond, side = null_safe(inside, offsets.df, [*keys, PART])
+    joined = inside.join(small_side(side, offsets.df.count()), cond)
+    totals = [(F.col("row_no") + F.col("_sl_b")).alias("row_no"), *[(F.col(f"run_{v}") + F.col(f"_sl_b_{v}")).alias(f"run_{v}") for v in values]]
+    return joined.select(*df.columns, *totals)

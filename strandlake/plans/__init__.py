@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import problems
+from strandlake.plans import interval_queries, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, interval_queries)
 
 
 def queries() -> dict:
