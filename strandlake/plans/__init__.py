@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import interval_queries, problems
+from strandlake.plans import alignment_queries, interval_queries, problems
 
-_MODULES = (problems, interval_queries)
+_MODULES = (problems, interval_queries, alignment_queries)
 
 
 def queries() -> dict:
