@@ -32,6 +32,19 @@ class Numbered:
         kept = [c for c in rows.columns if c not in (ROW, PART)]
         return joined.select(*kept, (F.col("_sl_offset") + F.col(ROW) - F.col("_sl_first")).alias(RANK))
 
+    def chunks(self, chunk_rows: int) -> DataFrame:
+        """The rows with their chunk (``_sl_chunk``): equal runs of numbers within the key.
+
+        A key of up to ``chunk_rows`` rows is one chunk, so only the offsets of larger keys are joined.
+        """
+        large = self.offsets.df.where(F.col("_sl_total") > chunk_rows)
+        rows = self.rows.df.withColumn(PART, F.shiftright(ROW, 33))
+        cond, side = null_safe(rows, large, [*self.keys, PART])
+        joined = rows.join(small_side(side, large.count()), cond, "left")
+        chunk = F.expr(f"(_sl_offset + {ROW} - _sl_first) div {int(chunk_rows)}")
+        kept = [c for c in rows.columns if c not in (ROW, PART)]
+        return joined.select(*kept, F.coalesce(chunk, F.lit(0)).alias(CHUNK))
+
     def sizes(self) -> DataFrame:
         return self.offsets.df.groupBy(*self.keys).agg(F.sum("_sl_n").alias("n_rows"))
 
@@ -57,7 +70,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
         .agg(F.min(ROW).alias("_sl_first"), F.count("*").alias("_sl_n"))
     )
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(per_part.withColumn("_sl_offset", F.coalesce(F.sum("_sl_n").over(before), F.lit(0))), "offsets")
+    counted = {"_sl_offset": F.coalesce(F.sum("_sl_n").over(before), F.lit(0)), "_sl_total": F.sum("_sl_n").over(Window.partitionBy(*keys))}
+    offsets = stage(per_part.withColumns(counted), "offsets")
     return Numbered(rows, offsets, keys)
 
 
@@ -70,7 +84,7 @@ def key_totals(
     highs: Sequence[str] = (),
     ends: Sequence[str] = (),
     order: str | None = None,
-    chunk_rows: int = 1_000_000,
+    chunk_rows: int = 100_000,
 ) -> DataFrame:
     """Count, sums, extents and first/last values of every key.
 
@@ -81,7 +95,7 @@ def key_totals(
     """
     need = list(dict.fromkeys([*keys, *sums, *lows, *highs, *ends, *([order] if order else [])]))
     numbered = number_rows(df.select(*need), keys)
-    rows = numbered.df.withColumn(CHUNK, F.expr(f"{RANK} div {int(chunk_rows)}"))
+    rows = numbered.chunks(chunk_rows)
     partial = [F.count("*").alias("n_rows")]
     partial += [F.sum(c).alias(f"sum_{c}") for c in sums]
     partial += [F.min(c).alias(f"min_{c}") for c in lows] + [F.max(c).alias(f"max_{c}") for c in highs]

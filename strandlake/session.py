@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast once it has been written and counted.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _OWN: list[str] = []
 
