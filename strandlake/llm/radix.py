@@ -96,8 +96,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, pcts: Sequence[i
 def digest(df: DataFrame, keys: Sequence[str], value: str, bits: int = 24) -> DataFrame:
     """A state that can be combined: counts per key and leading ``bits`` of the ordered value.
 
-    With b bits, 12 of them sign and exponent, percentiles read from it are off by a factor of at most
-    1 + 2^(12 - b). Null and NaN values do not count.
+    With b bits, 12 of them sign and exponent, percentiles read from it are off by less than
+    2^(12 - b) of their size (of the smallest normal number, if they are below it). Null and NaN values
+    do not count.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     lead = F.shiftright(ordered_bits(F.col(value).cast("double")), 64 - bits).alias("lead")
