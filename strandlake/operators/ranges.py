@@ -40,8 +40,11 @@ def _shift(level: Column) -> Column:
     return level * 4 + _SHIFTS[0]
 
 
-def _levels_of(df: DataFrame) -> list[int]:
-    return sorted(r[0] for r in valid(df).select(_level().alias("k")).distinct().collect())  # at most 14 rows
+def _levels_of(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels on which either side has intervals, found in one job of at most 28 rows."""
+    marked = [valid(d).select(F.lit(i).alias("i"), _level().alias("k")) for i, d in enumerate((a, b))]
+    found = marked[0].unionByName(marked[1]).distinct().collect()
+    return tuple(sorted(r["k"] for r in found if r["i"] == i) for i in (0, 1))
 
 
 def _binned(df: DataFrame, other_levels: list[int]) -> DataFrame:
@@ -57,7 +60,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, *, min_cols: int = 1, bring: Seque
     """Every overlapping pair once: a's columns, ``b_start_pos``, ``b_end_pos``, b's columns ``bring`` marked, ``overlap``."""
     bring = [c for c in dict.fromkeys([START, END, *bring]) if c != CHROM]
     left, right = valid(a), valid(b.select(CHROM, *bring))
-    la, lb = _levels_of(a), _levels_of(b)
+    la, lb = _levels_of(left, right)
     x = _binned(left, lb)
     y = _binned(right, la).select(
         F.col(CHROM).alias("_sl_c"), F.col("_sl_level").alias("_sl_l"), F.col("_sl_bin").alias("_sl_b"), F.col("_sl_own").alias("_sl_o"),

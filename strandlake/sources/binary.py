@@ -302,5 +302,6 @@ class NibSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BigWigSource, BigBedSource, TwoBitSource, NibSource):
         spark.dataSource.register(source)

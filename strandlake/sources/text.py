@@ -78,7 +78,7 @@ def read_intervals(spark: SparkSession, path: str, *, strict: bool = False, leng
     """
     rows = parse_intervals(spark.read.text(path), **layout)
     if strict:
-        return rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))).drop("error")
+        return rows.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean"))).drop("error")
     good = rows.where("error is null").drop("error")
     if lengths is None:
         return good
@@ -126,7 +126,7 @@ def _wiggle_rows(text: str) -> Iterator[tuple]:
         elif mode == "fixedStep":
             yield chrom, pos, pos + span, "+", float(cells[0])
             pos += step
-        else:
+        elif len(cells) > 3:
             yield cells[0], int(cells[1]), int(cells[2]), cells[5] if len(cells) > 5 else "+", float(cells[3])
 
 
