@@ -12,7 +12,8 @@ _PART_HEAD = re.compile(r"(?m)^--(?=\S)(.{1,100})\n(?=content-[a-z-]+:)", re.I)
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}\Z")
 _QP = re.compile(r"=[0-9A-F]{2}|=\n")
 _TAG_BREAK = re.compile(r"<\s*(?:br|/p|/div|/tr|/li|/h\d)\b[^>]*>\n?", re.I)
-_DROPPED = re.compile(r"<(blockquote|style|script|head)\b.*?</\1\s*>", re.I | re.S)
+_DROPPED = re.compile(r"<(blockquote|style|script|head)\b", re.I)
+_CLOSED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("blockquote", "style", "script", "head")}
 _TAG = re.compile(r"<[^<>]*>")
 _QUOTE = re.compile(r"\s{0,3}[>|:](?:[\s>|:]|[^\s]|$)")
 _ATTRIBUTION = re.compile(
@@ -99,9 +100,25 @@ def _bodies(headers: dict[str, str], body: str, depth: int = 0) -> list[tuple[st
     return [(kind, _decoded(headers, body))]
 
 
+def _without_dropped(body: str) -> str:
+    """Takes out elements whose content isn't the sender's text; one that isn't closed stays. One pass, however many open."""
+    out, at, unclosed = [], 0, set()
+    for m in _DROPPED.finditer(body):
+        name = m.group(1).lower()
+        if m.start() < at or name in unclosed:
+            continue
+        end = _CLOSED[name].search(body, m.end())
+        if end is None:
+            unclosed.add(name)
+            continue
+        out += [body[at : m.start()], "\n"]
+        at = end.end()
+    return "".join([*out, body[at:]])
+
+
 def _plain(kind: str, body: str) -> str:
     if kind == "text/html" or re.match(r"\s*<(?:html|!doctype)", body, re.I):
-        body = _DROPPED.sub("\n", body)
+        body = _without_dropped(body)
         body = _TAG_BREAK.sub("\n", body)
         body = html.unescape(_TAG.sub("", body)).replace("\xa0", " ")
     return body

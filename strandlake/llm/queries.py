@@ -80,6 +80,12 @@ SQL = {
         q as (select *, row_number() over (partition by chrom order by signalvalue desc, score desc nulls last, rec_id) k from p)
         select chrom, rec_id from q where k <= {TOP}""",
     "p4_percentiles": f"{_PCT} select * from t",
+    "p5_found": """with recursive t as (select comp_id, length(text) n, list_filter(range(5, length(text)),
+          lambda i: text[i - 4:i] = '-----' and text[i + 1] <> '-') b from maf_component where length(text) > 1000),
+        r as (select comp_id, n, b, cast(0 as bigint) s, cast(0 as bigint) e, false stuck from t
+          union all select comp_id, n, b, coalesce(e2 - 50, 0), coalesce(e2, 0), e2 is null
+          from (select *, list_max(list_filter(b, lambda x: x > e and x <= s + 1000)) e2 from r where not stuck and n - s > 1000))
+        select comp_id, max(cast(stuck as int)) forced from r group by comp_id""",
     "p4_found": f"""{_PCT} select t.chrom, t.field, t.pct from t join pct_bound b on t.field = b.field and t.pct = b.pct
         where t."value" > b.bound""",
 }

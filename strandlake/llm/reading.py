@@ -133,7 +133,7 @@ def reading_levels(
     )
     grades = graded.where(F.col(grade).isNotNull()).groupBy(key).agg(F.max(F.col(grade).cast("int")).alias("_sl_grade"))
     # A grade counts for documents of the table only.
-    known = grades.join(docs.select(key).distinct(), key, "left_semi")
+    known = grades.join(docs.select(key), key, "left_semi")
     none = F.array().cast("array<int>")
     nodes: Staged = stage(
         found.join(known, key, "full_outer").withColumns({c: F.coalesce(c, none) for c in ("buckets", "counts")}), "reading"
