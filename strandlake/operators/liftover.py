@@ -14,21 +14,13 @@ from strandlake.operators import ranges as R
 
 def chain_blocks(chains: DataFrame) -> DataFrame:
     """Blocks of chains with arrays ``sizes``, ``dt``, ``dq`` (one entry fewer or 0 at the end)."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("q"), F.array().cast("array<struct<t:bigint,q:bigint,z:bigint>>").alias("out"))
     steps = F.arrays_zip(F.col("sizes").alias("z"), F.col("dt").alias("dt"), F.col("dq").alias("dq"))
-    walked = F.aggregate(
-        steps, zero,
-        lambda s, b: F.struct(
-            (s["t"] + b["z"] + F.coalesce(b["dt"], F.lit(0))).alias("t"), (s["q"] + b["z"] + F.coalesce(b["dq"], F.lit(0))).alias("q"),
-            F.concat(s["out"], F.array(F.struct(s["t"].alias("t"), s["q"].alias("q"), b["z"].cast("bigint").alias("z")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
     head = ["chain_id", "score", "t_name", "q_name", "q_strand", "q_size"]
-    return chains.select(*head, "t_start", "q_start", F.posexplode(walked).alias("block_no", "b")).select(
-        *head, "block_no", (F.col("t_start") + F.col("b.t")).alias("t_start"), (F.col("t_start") + F.col("b.t") + F.col("b.z")).alias("t_end"),
-        (F.col("q_start") + F.col("b.q")).alias("q_start"),
-    )
+    each = chains.select(*head, "t_start", "q_start", F.posexplode(steps).alias("block_no", "b"))
+    before = Window.partitionBy("chain_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    gone = lambda gap: F.coalesce(F.sum(F.col("b.z") + F.coalesce(F.col(f"b.{gap}"), F.lit(0))).over(before), F.lit(0))
+    at = each.withColumns({"t": F.col("t_start") + gone("dt"), "q": F.col("q_start") + gone("dq")})
+    return at.select(*head, "block_no", F.col("t").alias("t_start"), (F.col("t") + F.col("b.z")).alias("t_end"), F.col("q").alias("q_start"))
 
 
 def map_pieces(elements: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

@@ -151,3 +151,58 @@ def test_random_statistics_agree(spark):
     t = Z.ttest_ind(df, [], "x", F.col("g") == "a").collect()[0]
     sp = ((len(a) - 1) * np.var(a, ddof=1) + (len(b) - 1) * np.var(b, ddof=1)) / (len(a) + len(b) - 2)
     assert t["t"] == pytest.approx((np.mean(a) - np.mean(b)) / math.sqrt(sp * (1 / len(a) + 1 / len(b))))
+
+
+def test_tiling(spark):
+    from strandlake.operators import species as A
+
+    blocks = [(1, "ref.c", 10, "AC-GTACG", "ACTGTA-G", 5.0), (2, "ref.c", 15, "CGTT", "CGAA", 9.0), (3, "ref.c", 30, "TT", None, 1.0)]
+    rows = []
+    for b, src, s, t0, t1, _ in blocks:
+        rows.append((b, b * 10, 0, src, s, len(t0.replace("-", "")), "+", 100, t0))
+        if t1:
+            rows.append((b, b * 10 + 1, 1, "oth.x", 0, len(t1.replace("-", "")), "+", 100, t1))
+    comps = spark.createDataFrame(rows, "block_id int, comp_id int, comp_no int, src string, start_pos bigint, aln_size bigint, strand string, src_size bigint, text string")
+    scores = spark.createDataFrame([(b[0], b[5]) for b in blocks], "block_id int, score double")
+    regions = spark.createDataFrame([("r", "ref.c", 8, 20), ("q", "ref.c", 30, 33)], "region string, chrom string, start_pos bigint, end_pos bigint")
+    spans = A.reference_spans(comps).join(scores, "block_id")
+    plan = sorted((r["region"], r["start_pos"], r["end_pos"], r["block_id"]) for r in A.tile_plan(regions, spans, "region").collect())
+    assert plan == [("q", 30, 32, 3), ("q", 32, 33, None), ("r", 8, 10, None), ("r", 10, 15, 1), ("r", 15, 19, 2), ("r", 19, 20, None)]
+    got = {(r["region"], r["species"]): r["text"] for r in A.tile_texts(regions, comps, "region", ["ref", "oth"], scores).collect()}
+    assert got == {("r", "ref"): "**AC-GTACGTT*", ("r", "oth"): "**ACTGTACGAA*", ("q", "ref"): "TT*", ("q", "oth"): "--*"}
+
+
+def test_chains_of_cigars(spark):
+    from strandlake.operators import species as A
+
+    items = spark.createDataFrame(
+        [("h", "g", "1", 101, 110, "+", "4M2D6M"), ("m", "g", "2", 11, 19, "-", "6M3D3M")],
+        "species string, gabid string, chrom string, start_pos bigint, end_pos bigint, strand string, cigar string",
+    )
+    sizes = spark.createDataFrame([("m", "2", 50)], "species string, name string, length bigint")
+    got = sorted((r["t_start"], r["t_end"], r["q_start"], r["q_strand"]) for r in A.chain_blocks_of_cigars(items, "h", "m", sizes).collect())
+    # Query position k on its own strand - is 50 - 19 + k from the sequence's end.
+    assert got == [(100, 104, 31, "-"), (107, 110, 37, "-")]
+
+
+def test_linear_model(spark):
+    from strandlake.operators.species import linear_model
+
+    df = spark.createDataFrame([(float(i), float(i * i), 3 + 2.0 * i - 0.5 * i * i) for i in range(9)] + [(1.0, None, 5.0)], "a double, b double, y double")
+    assert linear_model(df, "y", ["a", "b"]) == pytest.approx({"intercept": 3, "a": 2, "b": -0.5})
+
+
+def test_divergence_and_alignability(spark):
+    from strandlake.operators import species as A
+
+    iv = "chrom string, start_pos bigint, end_pos bigint"
+    w = spark.createDataFrame([(1, "c", 0, 100), (2, "c", 200, 250), (3, "d", 0, 400)], f"w int, {iv}")
+    snp = spark.createDataFrame([("c", 5, 6), ("c", 5, 6), ("c", 60, 62)], iv)
+    div = spark.createDataFrame([("c", 7, 10), ("c", 220, 221)], iv)
+    ar = spark.createDataFrame([("c", 0, 8)], iv)
+    got = {r["w"]: (r["snp"], r["div"], r["ar_snp"], r["ar_div"]) for r in A.divergence_table(w, snp, div, ar, "w").collect()}
+    assert got == {1: (3, 3, 1, 1), 2: (0, 1, 0, 0), 3: (0, 0, 0, 0)}
+    aligned = spark.createDataFrame([("s", "c", 0, 50), ("s", "c", 40, 60), ("s", "d", 0, 100)], f"species string, {iv}")
+    missing = spark.createDataFrame([("s", "c", 200, 230), ("s", "d", 300, 351)], f"species string, {iv}")
+    got = {(r["w"], r["species"]): r["fraction"] for r in A.alignability(w, aligned, missing, "w", ["s", "t"]).collect()}
+    assert got == {(1, "s"): 0.6, (2, "s"): None, (3, "s"): None, (1, "t"): 0.0, (2, "t"): 0.0, (3, "t"): 0.0}
