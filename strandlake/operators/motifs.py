@@ -104,3 +104,23 @@ def exact_hits(df: DataFrame, keys: Sequence[str], text: str, codes: str) -> Dat
     lengths = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p).cast("bigint"))
     sums = F.aggregate(lengths, F.array().cast("array<bigint>"), lambda s, v: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + v)))
     return df.where(F.length(text) >= n).select(*keys, F.explode(sums).alias("col"))
+
+
+def row_scores(df: DataFrame, keys: Sequence[str], text: str, matrix: np.ndarray, *, both_strands: bool = True, mask: str = "#*") -> DataFrame:
+    """keys, scores: for every column of an aligned text the best score (of both strands) of the window of bases that begins there.
+
+    Windows skip gaps; columns with a gap, a masked or an unknown letter in their window have a null score.
+    """
+    forms = [np.asarray(matrix, float)] + ([reverse_complement(matrix)] if both_strands else [])
+    hide = str.maketrans(dict.fromkeys(mask, "N"))
+    names = [f"_sl_{i}" for i in range(len(keys))]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best = [np.max([score_text(m, t.translate(hide), True) for m in forms], axis=0) for t in batch["_sl_text"]]
+            lists = [[None if np.isnan(v) else float(v) for v in b] for b in best]
+            yield batch.drop(columns="_sl_text").assign(scores=lists)
+
+    kinds = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+    rows = df.where(F.col(text).isNotNull()).select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col(text).alias("_sl_text"))
+    return rows.mapInPandas(work, f"{kinds}, scores array<double>").withColumnsRenamed(dict(zip(names, keys)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
@@ -99,3 +99,44 @@ def write_ranged(df: DataFrame, path: str, n_files: int | None = None) -> None:
 def write_by_source(components: DataFrame, path: str) -> None:
     """One folder for each source."""
     components.repartition("src").write.partitionBy("src").parquet(path)
+
+
+def lav_blocks(components: DataFrame) -> DataFrame:
+    """src1, strand1, src2, strand2 and the LAV text of all pairs of two sequences: one header, then an ``a`` stanza a block.
+
+    A piece is a run of columns without a gap; its percentage is (200 matches + size) div (2 size).
+    """
+    two = components.groupBy("block_id").agg(
+        F.max("score").alias("score") if "score" in components.columns else F.lit(0.0).alias("score"),
+        F.sort_array(F.collect_list(F.struct("comp_no", "src", "start_pos", "aln_size", "strand", "src_size", F.upper("text").alias("text")))).alias("c"),
+    )
+    two = two.where((F.size("c") == 2) & F.forall("c", lambda x: F.length(x["text"]) > 0))
+    a, b = F.col("c")[0], F.col("c")[1]
+    pairs = F.zip_with(S.chars(a["text"]), S.chars(b["text"]), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    each = two.select("block_id", "score", "c", F.posexplode(pairs).alias("i", "p"))
+    upto = Window.partitionBy("block_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    full = (F.col("p.x") != "-") & (F.col("p.y") != "-")
+    placed = each.withColumns(
+        {"n1": F.sum((F.col("p.x") != "-").cast("int")).over(upto), "n2": F.sum((F.col("p.y") != "-").cast("int")).over(upto),
+         "run": F.sum((~full).cast("int")).over(upto), "full": full}
+    )
+    runs = placed.where("full").groupBy("block_id", "score", "c", "run").agg(
+        F.min("n1").alias("a1"), F.max("n1").alias("e1"), F.min("n2").alias("a2"), F.max("n2").alias("e2"), F.count("*").alias("n"), F.sum((F.col("p.x") == F.col("p.y")).cast("int")).alias("m")
+    )
+    pct = F.expr("(200 * m + n) div (2 * n)")
+    at = lambda k, i: F.col(k) + F.col("c")[i]["start_pos"]
+    line = F.format_string("  l %d %d %d %d %d", at("a1", 0), at("a2", 1), at("e1", 0), at("e2", 1), pct)
+    stanza = runs.groupBy("block_id", "score", "c").agg(F.sort_array(F.collect_list(F.struct("a1", line.alias("l")))).alias("l"))
+    span = lambda i, end: F.col("c")[i]["start_pos"] + (F.col("c")[i]["aln_size"] if end else 1)
+    body = F.concat_ws(
+        "\n", F.lit("a {"), F.format_string("  s %.0f", F.coalesce("score", F.lit(0.0))), F.format_string("  b %d %d", span(0, 0), span(1, 0)),
+        F.format_string("  e %d %d", span(0, 1), span(1, 1)), F.array_join(F.transform("l", lambda x: x["l"]), "\n"), F.lit("}"),
+    )
+    key = {f"{k}{i + 1}": F.col("c")[i][k] for i in (0, 1) for k in ("src", "strand", "src_size")}
+    named = stanza.select("block_id", *[v.alias(k) for k, v in key.items()], body.alias("t"))
+    file = lambda i: F.format_string('  "%s%s" 1 %d %s 1', F.col(f"src{i}"), F.when(F.col(f"strand{i}") == "-", "-").otherwise(""), F.col(f"src_size{i}"), F.when(F.col(f"strand{i}") == "-", "1").otherwise("0"))
+    name = lambda i: F.format_string('  ">%s%s"', F.col(f"src{i}"), F.when(F.col(f"strand{i}") == "-", " (reverse complement)").otherwise(""))
+    head = F.concat_ws("\n", F.lit("#:lav"), F.lit("s {"), file(1), file(2), F.lit("}"), F.lit("h {"), name(1), name(2), F.lit("}"))
+    grouped = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block_id", "t"))).alias("b"))
+    text = F.concat_ws("\n", head, F.array_join(F.transform("b", lambda x: x["t"]), "\n"), F.lit("#:eof"))
+    return grouped.select("src1", "strand1", "src2", "strand2", text.alias("value"))

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import reverse_complement
 from strandlake.session import with_once
 
 
@@ -141,6 +142,32 @@ def read_lav_pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(work, schema)
 
 
+def lav_texts(pieces: DataFrame, sequences: DataFrame, *, fail_to_ns: bool = False) -> DataFrame:
+    """block, score, src1, src2, start1, start2, text1, text2: the pieces of each alignment with what lies between them.
+
+    sequences are rows of (name, text). Positions on strand - count from the sequence's end. A sequence
+    that isn't there is an error, or Ns if ``fail_to_ns``.
+    """
+    along = Window.partitionBy("block").orderBy("start1", "start2")
+    p = pieces.withColumns({"next1": F.coalesce(F.lead("start1").over(along), "end1"), "next2": F.coalesce(F.lead("start2").over(along), "end2")})
+    for i in (1, 2):
+        named = sequences.select(F.col("name").alias(f"src{i}"), F.col("text").alias(f"_sl_t{i}"))
+        p = p.join(named, f"src{i}", "left")
+        whole = F.when(F.col(f"strand{i}") == "-", reverse_complement(F.col(f"_sl_t{i}"))).otherwise(F.col(f"_sl_t{i}"))
+        n = F.col(f"next{i}") - F.col(f"start{i}")
+        absent = F.repeat(F.lit("N"), n.cast("int")) if fail_to_ns else F.raise_error(F.concat(F.lit("no sequence "), F.col(f"src{i}"))).cast("string")
+        p = p.withColumn(f"_sl_p{i}", F.when(whole.isNull(), absent).otherwise(F.substring(whole, (F.col(f"start{i}") + 1).cast("int"), n.cast("int")))).drop(f"_sl_t{i}")
+    own = F.col("end1") - F.col("start1")
+    gap1, gap2 = (F.repeat(F.lit("-"), F.greatest(F.col(f"next{i}") - F.col(f"end{i}"), F.lit(0)).cast("int")) for i in (1, 2))
+    head = lambda i: F.substring(f"_sl_p{i}", F.lit(1), own.cast("int"))
+    rest = lambda i: F.substring(f"_sl_p{i}", (own + 1).cast("int"), F.length(f"_sl_p{i}"))
+    # Between two pieces the first sequence's bases come before the second one's.
+    part = F.struct("start1", "start2", F.concat(head(1), rest(1), gap2).alias("t1"), F.concat(head(2), gap1, rest(2)).alias("t2"))
+    out = p.groupBy("block", "score", "src1", "src2").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    text = lambda t: F.array_join(F.transform("p", lambda x: x[t]), "")
+    return out.select("block", "score", "src1", "src2", F.col("p")[0]["start1"].alias("start1"), F.col("p")[0]["start2"].alias("start2"), text("t1").alias("text1"), text("t2").alias("text2"))
+
+
 def read_features(spark: SparkSession, path: str, *, group: str = r'(?:gene_id|transcript_id|Parent=|ID=)\s*"?([^";]+)') -> DataFrame:
     """chrom, feature, start_pos, end_pos (zero-based half-open), strand, group of GFF and GTF lines."""
     rows = with_once(spark.read.text(path).where(~F.startswith("value", F.lit("#"))), "c", F.split("value", "\t")).where(F.size("c") >= 9)

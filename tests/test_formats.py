@@ -249,3 +249,27 @@ def test_lav_and_epo_and_gff(spark, tmp_path):
     assert [tuple(x) for x in m] == [(10, 13), (15, 16), (20, 22)]
     gff = put(tmp_path, "x.gff", '##x\nchr1\ts\texon\t11\t20\t.\t+\t.\tgene_id "g1"; transcript_id "t";\n')
     assert [tuple(r) for r in X.read_features(spark, gff).collect()] == [("chr1", "exon", 10, 20, "+", "g1")]
+
+
+def test_lav_round_trip(spark, tmp_path):
+    rows = [(1, 0, "ap", 10, 7, "+", 40, "ACGT--ACG", 50.0), (1, 1, "or", 3, 8, "-", 30, "ACTTGG-CG", 50.0), (2, 0, "ap", 20, 2, "+", 40, "AC", 5.0), (2, 1, "or", 20, 2, "-", 30, "AC", 5.0)]
+    c = spark.createDataFrame(rows, "block_id int, comp_no int, src string, start_pos bigint, aln_size bigint, strand string, src_size bigint, text string, score double")
+    K.lav_blocks(c).select("value").write.text(str(tmp_path / "lav"))
+    pieces = X.read_lav_pieces(spark, str(tmp_path / "lav"))
+    got = sorted(tuple(r)[2:] for r in pieces.collect())
+    assert got == [("ap", 10, 14, "+", "or", 3, 7, "-", 75), ("ap", 15, 17, "+", "or", 9, 11, "-", 100), ("ap", 20, 22, "+", "or", 20, 22, "-", 100)]
+    from strandlake.functions.sequence import reverse_complement
+
+    ap = "N" * 10 + "ACGTACG" + "NNN" + "AC" + "N" * 18
+    rc = "NNN" + "ACTTGGCG" + "N" * 9 + "AC" + "N" * 8
+    df = spark.createDataFrame([("ap", ap), ("or", rc)], "name string, t string")
+    from pyspark.sql import functions as F
+
+    seqs = df.select("name", F.when(F.col("name") == "or", reverse_complement(F.col("t"))).otherwise(F.col("t")).alias("text"))
+    texts = sorted((r["start1"], r["text1"], r["text2"]) for r in X.lav_texts(pieces, seqs).collect())
+    # Between pieces the first sequence's bases come first.
+    assert texts == [(10, "ACGTA--CG", "ACTT-GGCG"), (20, "AC", "AC")]
+    with pytest.raises(Exception, match="no sequence"):
+        X.lav_texts(pieces, seqs.where("name = 'ap'")).collect()
+    ns = X.lav_texts(pieces, seqs.where("name = 'ap'"), fail_to_ns=True).where("start1 = 20").collect()[0]
+    assert (ns["text1"], ns["text2"]) == ("AC", "NN")

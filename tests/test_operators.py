@@ -206,3 +206,12 @@ def test_divergence_and_alignability(spark):
     missing = spark.createDataFrame([("s", "c", 200, 230), ("s", "d", 300, 351)], f"species string, {iv}")
     got = {(r["w"], r["species"]): r["fraction"] for r in A.alignability(w, aligned, missing, "w", ["s", "t"]).collect()}
     assert got == {(1, "s"): 0.6, (2, "s"): None, (3, "s"): None, (1, "t"): 0.0, (2, "t"): 0.0, (3, "t"): 0.0}
+
+
+def test_row_scores(spark):
+    m = M.log_odds(np.array([[9, 0, 0, 1], [0, 10, 0, 0], [0, 0, 10, 0]]), correction=0.01)
+    df = spark.createDataFrame([(1, "A-CG#ACG"), (2, None), (3, "CGT")], "id int, t string")
+    got = {r["id"]: r["scores"] for r in M.row_scores(df, ["id"], "t", m).collect()}
+    top = m.max(1).sum()
+    assert set(got) == {1, 3} and got[1][0] == pytest.approx(top) and got[1][5] == pytest.approx(top) and got[3][0] == pytest.approx(top)
+    assert [i for i, v in enumerate(got[1]) if v is not None] == [0, 5]
