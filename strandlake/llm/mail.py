@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from bisect import bisect_right
 from quopri import decodestring
 
 _HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:(?: |\t|$|\n)")
@@ -23,6 +24,7 @@ _ORIGINAL = re.compile(
     r"\s*-{3,}\s*\S[^-]{2,60}\s*-{3,}\s*\Z|\s*(?:From|Von|De)\s?:\s.*@|\s*(?:From|Von|De)\s?:\s+\S.*\Z", re.I
 )
 _RULE = re.compile(r"\s*([-_*=~#+])\1+\s*\Z")
+_END_MARK = re.compile(r"\s*-{2,}\s*(?:End|Ende|Fin)\b[^-]{0,60}-{2,}\s*\Z", re.I)
 _PASTED = re.compile(
     r"\$ |\[\d|\s*File \"|Traceback\b|[A-Za-z.]*(?:Error|Exception|Warning)\b:|https?://|www\.|begin \d{3} |(?:\S+\t)+\S+|@@ |\+\+\+ |--- |[ \t]{4,}\S"
 )
@@ -81,23 +83,50 @@ def _parts(headers: dict[str, str], body: str) -> list[str]:
     return [p for p in pieces[1:] if p.strip()]
 
 
-def _bodies(headers: dict[str, str], body: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(kind, decoded text) of the text bodies that aren't attachments, in order."""
-    kind = headers.get("content-type", "text/plain").split(";")[0].strip().lower()
-    if "attachment" in headers.get("content-disposition", "").lower() or re.search(r"\bname\s*=", headers.get("content-type", ""), re.I):
-        return []
-    if depth < 6 and (kind.startswith("multipart/") or (depth == 0 and _PART_HEAD.search(body))):
-        parts = _parts(headers, body)
-        if parts:
-            out = []
-            for p in parts:
-                h, b = _split(p.lstrip("\n") if _HEADER.match(p.lstrip("\n")) else p)
-                out += _bodies(h, b, depth + 1)
-            return out
-        kind = "text/plain"
-    if kind not in _BODY_KINDS:
-        return []
-    return [(kind, _decoded(headers, body))]
+def _is_attachment(headers: dict[str, str]) -> bool:
+    return "attachment" in headers.get("content-disposition", "").lower() or bool(re.search(r"\bname\s*=", headers.get("content-type", ""), re.I))
+
+
+def _bodies(headers: dict[str, str], body: str) -> list[tuple[str, str]]:
+    """(kind, decoded text) of the sender's text bodies, in order: all inline ones, one of each set of alternatives.
+
+    Entities wait in a list, so parts may nest to any depth.
+    """
+    entities = [(headers, body)]
+    inside: list[tuple[bool, list[int]] | None] = []  # of a container: whether its parts are alternatives, and their numbers
+    leaf: list[tuple[str, str] | None] = []
+    at = 0
+    while at < len(entities):
+        own, content = entities[at]
+        kind = own.get("content-type", "text/plain").split(";")[0].strip().lower()
+        inside.append(None)
+        leaf.append(None)
+        if not _is_attachment(own):
+            if kind.startswith("multipart/") or (at == 0 and _PART_HEAD.search(content)):
+                parts = _parts(own, content)
+                if parts:
+                    inside[at] = (kind == "multipart/alternative", list(range(len(entities), len(entities) + len(parts))))
+                    entities += [_split(p.lstrip("\n") if _HEADER.match(p.lstrip("\n")) else p) for p in parts]
+                kind = "text/plain"
+            if inside[at] is None and kind in _BODY_KINDS:
+                leaf[at] = (kind, _decoded(own, content))
+        entities[at] = ({}, "")
+        at += 1
+    found: list[list[tuple[str, str]]] = [[] for _ in entities]
+    for i in range(len(entities) - 1, -1, -1):  # parts come after their container
+        if inside[i] is None:
+            found[i] = [leaf[i]] if leaf[i] and leaf[i][1].strip() else []
+            continue
+        alternatives, parts = inside[i]
+        sets = [found[k] for k in parts if found[k]]
+        if alternatives:
+            plain = [x for x in sets if any(kind == "text/plain" for kind, _ in x)]
+            found[i] = (plain or sets or [[]])[0]
+        else:
+            found[i] = [x for one in sets for x in one]
+        for k in parts:
+            found[k] = []
+    return found[0]
 
 
 def _without_dropped(body: str) -> str:
@@ -125,16 +154,16 @@ def _plain(kind: str, body: str) -> str:
 
 
 def message_body(text: str) -> str:
-    """The first plain body with content, else the first HTML one as plain text."""
+    """The plain bodies with content that aren't attachments, joined; without any, the HTML ones as plain text."""
     unix = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff\n")
     if unix.startswith("From ") and _HEADER.match(unix.partition("\n")[2]):
         unix = unix.partition("\n")[2]
     headers, body = _split(unix)
     found = _bodies(headers, body)
     for kind in _BODY_KINDS:
-        for k, b in found:
-            if k == kind and b.strip():
-                return _plain(k, b).replace("\r\n", "\n").replace("\r", "\n")
+        texts = [_plain(k, b).replace("\r\n", "\n").replace("\r", "\n") for k, b in found if k == kind]
+        if texts:
+            return "\n\n".join(texts)
     return ""
 
 
@@ -142,24 +171,46 @@ def _is_sequence(line: str) -> bool:
     return " " not in line and len(line) > 12 and not line.isalpha() or (" " not in line and len(line) >= 25)
 
 
+def _resumes(lines: list[str], at: int, ends: list[int]) -> int | None:
+    """Where own text may go on after the rule or "original message" line at ``at``; None: nowhere.
+
+    A block below it that is quoted line by line is passed over by its marks, one with an end mark by
+    that mark. Anything else below (a signature, a footer, mail forwarded without marks) runs to the end.
+    """
+    below = at + 1
+    while below < len(lines) and not lines[below].strip():
+        below += 1
+    if _END_MARK.match(lines[at]) or (below < len(lines) and _QUOTE.match(lines[below])):
+        return at + 1
+    if not _RULE.match(lines[at]):
+        k = bisect_right(ends, at)
+        return ends[k] + 1 if k < len(ends) else None
+    return None
+
+
 def own_paragraphs(text: str) -> list[str]:
     """Paragraphs of prose by the sender; no quotes, greetings, signatures, notices, footers or pasted lines."""
     kept: list[str] = []
     lines = message_body(text).split("\n")
-    in_quote = False
-    for i, line in enumerate(lines):
+    ends = [i for i, x in enumerate(lines) if _END_MARK.match(x)]
+    i = -1
+    while i + 1 < len(lines):
+        i += 1
+        line = lines[i]
         bare = line.strip()
         if not bare:
             kept.append("")
-            in_quote = False
             continue
         if _QUOTE.match(line):
-            in_quote = True
             continue
-        if _RULE.match(line) or _ORIGINAL.match(line):
-            break
+        if _RULE.match(line) or _ORIGINAL.match(line) or _END_MARK.match(line):
+            after = _resumes(lines, i, ends)
+            if after is None:
+                break
+            kept.append("")
+            i = after - 1
+            continue
         if _ATTRIBUTION.match(line) or (i + 1 < len(lines) and len(bare) < 120 and _ATTRIBUTION.match(f"{bare} {lines[i + 1].strip()}") and re.match(r"(?:On|Am|Le|El)\b", bare)):
-            in_quote = False
             continue
         if _PASTED.match(line) or _is_sequence(bare) or "\t" in line:
             continue
