@@ -51,13 +51,37 @@ def test_copies_of_the_best_fill_many_row_groups(spark):
     assert sorted((r["v"], r["rec_id"]) for r in got.collect()) == [(7.0, 39_997), (8.0, 39_998), (9.0, 0)]
 
 
-def test_row_groups_are_skipped(spark):
-    df = spark.range(200_000).select(F.col("id").alias("rec_id"), F.lit("one").alias("chrom"), F.rand(1).alias("v"))
-    c = cluster_by_group(df, "chrom", "v", ["rec_id"], row_group_bytes=64 * 1024)
-    index = c.index.df.collect()
-    assert len(index) > 10 and sum(r["n"] for r in index) == 200_000
-    best = max(r["top"] for r in index)
-    assert sum(r["top"] >= best - 1e-3 for r in index) < len(index) / 2
+def test_one_large_group_is_hardly_read(spark):
+    df = spark.range(200_000).select(F.col("id").alias("rec_id"), F.lit("one").alias("chrom"), F.rand(1).alias("v")).repartition(4)
+    c = cluster_by_group(df, "chrom", "v", ["rec_id"])
+    got = c.top_n(10, unique_id="rec_id")
+    want = df.orderBy(F.desc("v"), "rec_id").limit(10)
+    assert sorted(r["rec_id"] for r in got.collect()) == sorted(r["rec_id"] for r in want.collect())
+    assert c.report["rows"] == 200_000 and 0 < c.report["rows_read"] < 1_000 and c.report["row_groups"] >= 10
+    assert c.report["row_groups_read"] <= 4
+
+
+def test_many_small_groups_and_a_large_one(spark):
+    # 100,000 groups of 12 rows and one of 300,000; integer groups, scores beyond 2^53.
+    small = spark.range(1_200_000).select("id", (F.col("id") % 100_000).cast("int").alias("g"))
+    large = spark.range(1_200_000, 1_500_000).select("id", F.lit(-7).alias("g"))
+    df = small.union(large).withColumn("v", F.lit(2**60) + F.xxhash64("id") % 1_000_000).withColumn("v", F.col("v").cast("bigint"))
+    c = cluster_by_group(df, "g", "v", ["id"])
+    got = c.top_n(1, unique_id="id")
+    want = df.groupBy("g").agg(F.max_by("id", F.struct("v", -F.col("id"))).alias("id"))
+    assert got.count() == 100_001 and got.join(want, ["g", "id"]).count() == 100_001
+    assert c.report["rows"] == 1_500_000 and c.report["rows_read"] < 0.4 * c.report["rows"]
+    # A second question needs no clustering.
+    assert c.top_n(2, unique_id="id").count() == 200_002
+
+
+def test_all_scores_equal_and_fewer_than_n(spark):
+    df = spark.range(30_000).select(F.col("id").alias("rec_id"), F.when(F.col("id") < 29_995, "a").otherwise("b").alias("chrom"), F.lit(-0.0).alias("v"))
+    df = df.union(df.select("rec_id", "chrom", F.lit(0.0))).union(df.select("rec_id", "chrom", F.lit(float("nan"))))
+    got = top_n(df, 7, "chrom", "v", unique_id="rec_id")
+    found = [(r["chrom"], r["rec_id"]) for r in got.collect()]
+    assert sorted(set(found)) == [("a", i) for i in range(4)] + [("b", i) for i in range(29_995, 29_999)]
+    assert len(found) == 14
 
 
 def test_nothing(spark):
