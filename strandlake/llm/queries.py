@@ -46,6 +46,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).groupBy("comp_id").agg(F.max(F.col("forced").cast("int")).alias("forced"))
 
 
+def p5_pieces_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each divided component: whether its pieces keep the limit, the overlap, the whole text, their own start and size."""
+    pieces = p5_pieces(spark, sf_dir).join(
+        table(spark, sf_dir, "maf_component").select(F.col("comp_id"), "text", F.col("start_pos").alias("whole_start")), "comp_id"
+    )
+    own = lambda t: F.length(F.regexp_replace(t, "-", ""))
+    begin = F.col("whole_start") + own(F.substring("text", F.lit(1), F.col("col_start").cast("int")))
+    per = pieces.groupBy("comp_id").agg(
+        F.max(F.length("piece_text")).alias("longest"),
+        F.sort_array(F.collect_list(F.struct("piece_no", "col_start", "col_end"))).alias("x"),
+        F.bool_and(F.col("piece_text") == F.substring("text", F.col("col_start").cast("int") + 1, (F.col("col_end") - F.col("col_start")).cast("int"))).alias("same"),
+        F.bool_and(F.col("start_pos").eqNullSafe(begin) & (F.col("aln_size") == own(F.col("piece_text")))).alias("own_ok"),
+        F.first(F.length("text")).alias("n"),
+    )
+    later = F.expr("transform(sequence(1, size(x) - 1), i -> x[i].col_start = x[i - 1].col_end - 50 and x[i].col_end > x[i - 1].col_end and x[i].piece_no = i)")
+    whole = (F.col("x")[0]["col_start"] == 0) & (F.element_at("x", -1)["col_end"] == F.col("n")) & F.col("same")
+    return per.select("comp_id", (F.col("longest") <= 1000).alias("limit_ok"), F.forall(later, lambda v: v).alias("overlap_ok"), whole.alias("whole_ok"), "own_ok")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -62,7 +81,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).select("doc_id", "read_level")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_percentiles, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_percentiles, p5_found, p5_pieces, p5_pieces_hold, p7_ids, p8_containers, p9_found, p9_levels)}
 
 _P = ", ".join(PEAK)
 _USABLE = "{0} >= 0 and not isnan({0}) and not isinf({0})"
@@ -86,6 +105,7 @@ SQL = {
           union all select comp_id, n, b, coalesce(e2 - 50, 0), coalesce(e2, 0), e2 is null
           from (select *, list_max(list_filter(b, lambda x: x > e and x <= s + 1000)) e2 from r where not stuck and n - s > 1000))
         select comp_id, max(cast(stuck as int)) forced from r group by comp_id""",
+    "p5_pieces_hold": """select comp_id, true limit_ok, true overlap_ok, true whole_ok, true own_ok from maf_component where length(text) > 1000""",
     "p4_found": f"""{_PCT} select t.chrom, t.field, t.pct from t join pct_bound b on t.field = b.field and t.pct = b.pct
         where t."value" > b.bound""",
 }

@@ -1,8 +1,9 @@
 """Cutting oversized texts at natural boundaries, with a fixed overlap between neighbours.
 
-Dynamic programming over boundary positions: a cut at a natural boundary is free, a forced one costs
-more than any imbalance can; among the ways with the fewest forced cuts, the sum of squared
-differences from the mean piece length is smallest.
+Dynamic programming over the natural boundaries: the cost of a way of cutting is the pair (number of
+forced cuts, penalties of its natural cuts plus the sum of squared differences of its piece lengths
+from the mean piece length, in units of the limit), compared in this order. Between two natural cuts
+the fewest forced cuts are best, and evenly spaced ones cost least, so a transition is a closed form.
 """
 
 from __future__ import annotations
@@ -17,54 +18,55 @@ from pyspark.sql import functions as F
 
 MAX_COLUMNS, OVERLAP = 1000, 50
 GAP_RUN = "-{5,}"
-_FORCED = 1e9
 
 
-def cut_positions(n: int, natural: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[bool]]:
+def cut_positions(n: int, natural: np.ndarray, limit: int, overlap: int, penalty: np.ndarray | None = None) -> tuple[list[int], list[bool]]:
     """Ends of all pieces but the last, and which of them are forced.
 
     Pieces have at most ``limit`` columns and begin ``overlap`` columns before the one before them ends.
+    ``penalty`` is the cost of a cut at each natural boundary (0 by default), beside the imbalance.
     """
     step = limit - overlap
-    natural = np.unique(natural[(natural > overlap) & (natural < n)])
-    # Where two natural boundaries are farther apart than a piece reaches, evenly spaced forced ones.
-    marks, kinds, last = [], [], overlap
-    for b in [*natural.tolist(), n]:
-        parts = -(-(b - last) // step)
-        marks += [last + (b - last) * k // parts for k in range(1, parts)]
-        kinds += [True] * (parts - 1)
-        if b < n:
-            marks.append(b)
-            kinds.append(False)
-        last = b
-    at, forced = np.array(marks, "int64"), np.array(kinds, bool)
+    inside = (natural > overlap) & (natural < n)
+    order = np.argsort(natural[inside], kind="stable")
+    at = natural[inside][order]
+    cost_at = np.zeros(len(at)) if penalty is None else penalty[inside][order]
+    if len(at):
+        first = np.flatnonzero(np.append(True, np.diff(at) > 0))
+        at, cost_at = at[first], np.minimum.reduceat(cost_at, first)
+    # The start counts as a boundary at ``overlap``, so that a piece from a to b has b - a + overlap columns.
+    at = np.concatenate([[overlap], at, [n]]).astype("int64")
+    cost_at = np.concatenate([[0.0], cost_at, [0.0]])
     k = max(1, -(-(n - overlap) // step))
     mean = (n + (k - 1) * overlap) / k
-    cost, via = np.empty(len(at)), np.empty(len(at), "int64")
+    forced, cost, via = np.zeros(len(at), "int64"), np.zeros(len(at)), np.zeros(len(at), "int64")
     low = 0
-    for i, x in enumerate(at.tolist()):
-        while low < i and at[low] < x - step:
+    for i in range(1, len(at)):
+        # forced - at / step never rises from boundary to boundary, so those that can reach this one with
+        # the fewest forced cuts are the last ones, from ``low`` on.
+        pieces = -(-(at[i] - at[low:i]) // step)
+        count = forced[low:i] + pieces - 1
+        fewest = count.min()
+        short, more = np.divmod(at[i] - at[low:i], pieces)
+        short = short + overlap - mean
+        way = cost[low:i] + ((pieces - more) * short**2 + more * (short + 1) ** 2) / limit**2
+        way[count > fewest] = np.inf
+        j = int(np.argmin(way))
+        forced[i], cost[i], via[i] = fewest, way[j] + cost_at[i], low + j
+        while (forced[low] - forced[i] - 1) * step - at[low] + at[i] > 0:
             low += 1
-        best, frm = ((x - mean) / limit) ** 2 if x <= limit else np.inf, -1
-        if low < i:
-            way = cost[low:i] + ((x - at[low:i] + overlap - mean) / limit) ** 2
-            j = int(np.argmin(way))
-            if way[j] < best:
-                best, frm = way[j], low + j
-        cost[i], via[i] = best + _FORCED * forced[i], frm
-    ends = np.flatnonzero(at >= n - step)
-    way = cost[ends] + ((n - at[ends] + overlap - mean) / limit) ** 2
-    i = int(ends[np.argmin(way)])
-    cuts, how = [], []
-    while i >= 0:
-        cuts.append(int(at[i]))
-        how.append(bool(forced[i]))
+    cuts, how, i = [], [], len(at) - 1
+    while i > 0:
+        a, b = int(at[via[i]]), int(at[i])
+        pieces = -(-(b - a) // step)
+        cuts += [a + (b - a) * q // pieces for q in range(pieces, 0, -1)]
+        how += [False, *[True] * (pieces - 1)]
         i = int(via[i])
-    return cuts[::-1], how[::-1]
+    return cuts[:0:-1], how[:0:-1]
 
 
-def _pieces(limit: int, overlap: int, boundary: str, gap: str, names: list[str]):
-    run = re.compile(boundary)
+def _pieces(limit: int, overlap: int, boundary: Sequence[tuple[str, float]], gap: str, names: list[str]):
+    runs = [(re.compile(pattern), float(weight)) for pattern, weight in boundary]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,8 +74,9 @@ def _pieces(limit: int, overlap: int, boundary: str, gap: str, names: list[str])
                 continue
             row, rows = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
-                natural = np.array([m.end() for m in run.finditer(text)], "int64")
-                cuts, forced = cut_positions(len(text), natural, limit, overlap)
+                found = [(m.end(), weight) for run, weight in runs for m in run.finditer(text)]
+                natural, penalty = (np.array([x[c] for x in found], t) for c, t in ((0, "int64"), (1, float)))
+                cuts, forced = cut_positions(len(text), natural, limit, overlap, penalty)
                 begin = before = 0
                 for no, (end, how) in enumerate(zip([*cuts, len(text)], [*forced, False])):
                     part = text[begin:end]
@@ -90,24 +93,27 @@ def _pieces(limit: int, overlap: int, boundary: str, gap: str, names: list[str])
 
 
 def split_texts(
-    df: DataFrame, carry: Sequence[str], text: str, *, limit: int = MAX_COLUMNS, overlap: int = OVERLAP, boundary: str = GAP_RUN, gap: str = "-"
+    df: DataFrame, carry: Sequence[str], text: str, *, limit: int = MAX_COLUMNS, overlap: int = OVERLAP,
+    boundary: str | Sequence[tuple[str, float]] = GAP_RUN, gap: str = "-",
 ) -> DataFrame:
     """The columns ``carry``, then piece_no, col_start, col_end, n_before, n_own, piece_text, forced.
 
     One row for each piece of every text longer than ``limit`` columns. A natural boundary is the place
-    right after a match of ``boundary``; ``forced`` tells that the piece ends at none (false for the last
+    right after a match of ``boundary``, a pattern or several with the penalty of a cut there (what a piece
+    that differs from the mean length by the whole limit costs is 1); ``forced`` tells that the piece ends at none (false for the last
     piece). n_before and n_own count the characters other than ``gap`` before and in the piece. Null,
     empty and short texts give no pieces; equal rows give equal pieces; an empty table gives none.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
+    kinds = [(boundary, 0.0)] if isinstance(boundary, str) else list(boundary)
     long = df.where(F.length(text) > limit).select(
         F.col(text).alias("_sl_text"), *[F.col(c).alias(f"_sl_{i}") for i, c in enumerate(carry)]
     )
     kept = ", ".join(f"_sl_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     added = "piece_no int, col_start bigint, col_end bigint, n_before bigint, n_own bigint, piece_text string, forced boolean"
     names = [f"_sl_{i}" for i in range(len(carry))] + [c.split()[0] for c in added.split(", ")]
-    out = long.mapInArrow(_pieces(limit, overlap, boundary, gap, names), f"{kept}, {added}")
+    out = long.mapInArrow(_pieces(limit, overlap, kinds, gap, names), f"{kept}, {added}")
     return out.withColumnsRenamed({f"_sl_{i}": c for i, c in enumerate(carry)})
 
 
