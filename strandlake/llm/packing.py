@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.tokenizer import VOCABULARY, token_counts
 from strandlake.operators.chunking import RANK, number_rows
+from strandlake.session import stage
 
 CAPACITY = 4096
 
@@ -155,7 +156,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
         (F.col("piece_no") * capacity).alias("start_token"),
         F.least(F.lit(capacity).cast("bigint"), F.col("_sl_n") - F.col("piece_no") * capacity).alias("n_tokens"),
     )
-    numbered = number_rows(pieces, ["n_tokens"])
+    # Ranges of lengths: a part holds few lengths, so the numbering has as many offsets as there are lengths and parts.
+    sized = stage(pieces, "sized")
+    numbered = number_rows(sized.df.repartitionByRange("n_tokens", "_sl_key"), ["n_tokens"])
+    sized.drop()
     counts = {r[0]: r[1] for r in numbered.sizes().collect() if r[0] > 0}  # at most capacity + 1 rows
     plan = Plan(counts, capacity)
     kind = items.schema[key].dataType.simpleString()

@@ -8,8 +8,10 @@ leading digits is a state that partitions or days can combine, with a stated rel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,24 @@ from strandlake.session import small_side, stage
 DIGITS = 4
 
 
-def ordered_bits(value: Column) -> Column:
-    """A bigint in the order of the double: -inf .. -0.0 = 0.0 .. inf. Null gives null; filter NaN before."""
-    plain = F.coalesce(value, F.lit(0.0)).cast("double") + F.lit(0.0)
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("bigint")
-    return F.when(value.isNotNull(), F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits))
+def _bits(names: list[str]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = (batch.columns[-1].to_numpy(zero_copy_only=False) + 0.0).view("int64")
+            ordered = np.where(raw < 0, raw ^ np.int64(0x7FFFFFFFFFFFFFFF), raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ordered)], names=names)
+
+    return work
+
+
+def with_bits(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys and ``_sl_bits``, a bigint in the order of the double: -inf .. -0.0 = 0.0 .. inf. Null and NaN values are left out."""
+    double = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(double)).select(*[F.col(k).alias(f"_sl_{i}") for i, k in enumerate(keys)], double.alias("_sl_v"))
+    kinds = ", ".join(f"_sl_{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    names = [f"_sl_{i}" for i in range(len(keys))]
+    out = rows.mapInArrow(_bits([*names, "_sl_bits"]), f"{kinds}, _sl_bits bigint" if keys else "_sl_bits bigint")
+    return out.withColumnsRenamed(dict(zip(names, keys)))
 
 
 def value_of(bits: Column) -> Column:
@@ -46,10 +61,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, pcts: Sequence[i
     """
     keys = list(keys)
     pcts = sorted({int(p) for p in pcts})
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        *keys, ordered_bits(F.col(value).cast("double")).alias("_sl_bits")
-    )
-    table = stage(rows, "radix")
+    table = stage(with_bits(df, keys, value), "radix")
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(1).alias("one"))
     bits = table.df.select(group.alias("_sl_g"), "_sl_bits")
 
@@ -100,9 +112,7 @@ def digest(df: DataFrame, keys: Sequence[str], value: str, bits: int = 24) -> Da
     2^(12 - b) of their size (of the smallest normal number, if they are below it). Null and NaN values
     do not count.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    lead = F.shiftright(ordered_bits(F.col(value).cast("double")), 64 - bits).alias("lead")
-    return rows.groupBy(*keys, lead).agg(F.count("*").alias("n"))
+    return with_bits(df, keys, value).groupBy(*keys, F.shiftright("_sl_bits", 64 - bits).alias("lead")).agg(F.count("*").alias("n"))
 
 
 def combine(*states: DataFrame) -> DataFrame:

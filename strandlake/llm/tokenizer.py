@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters worked on at once; a longer text is worked on alone.
+#: Characters worked on at once; a longer text is worked on alone, in parts of about this length.
 BLOCK_CHARS = 1_000_000
+#: Right after a word or number and before a blank a pre-token ends, whatever stands farther on either side.
+_SAFE_CUT = regex.compile(r"(?<=[\p{L}\p{N}])(?=\s)")
 #: Distinct pre-tokens kept by a worker; beyond it the store starts anew (only time depends on it).
 KEPT_PIECES = 400_000
 
@@ -216,6 +218,18 @@ class ByteBPE:
         at = np.repeat(self.first[rows][which] - total[:-1], n) + np.arange(total[-1])
         return self.store[at], per_text
 
+    def encode_long(self, text: str, counts_only: bool = False, block: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_block`` of one text, part by part, so that the work space doesn't grow with the text."""
+        ids, n, at = [], 0, 0
+        while at < len(text):
+            cut = _SAFE_CUT.search(text, at + block)
+            end = cut.start() if cut else len(text)
+            part, counts = self.encode_block([text[at:end]], counts_only)
+            ids.append(part)
+            n += int(counts[0])
+            at = end
+        return np.concatenate(ids), np.array([n])
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_block([text])[0].tolist() if text else []
 
@@ -235,7 +249,9 @@ def loaded(vocabulary: str) -> ByteBPE:
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of (id, text) batches of about BLOCK_CHARS bytes of text."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // BLOCK_CHARS
+    # A text above the block size has a block of its own.
+    large = size > BLOCK_CHARS
+    group = np.cumsum(np.where(large, 0, size)) // BLOCK_CHARS + np.cumsum(large | np.append(False, large[:-1]))
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -246,7 +262,9 @@ def _encoder(vocabulary: str, counts_only: bool, names: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for batch in chain.from_iterable(map(_blocks, batches)):
-            ids, n = bpe.encode_block([t or "" for t in batch.column(1).to_pylist()], counts_only)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            long = len(texts) == 1 and len(texts[0]) > BLOCK_CHARS
+            ids, n = bpe.encode_long(texts[0], counts_only) if long else bpe.encode_block(texts, counts_only)
             if counts_only:
                 out = pa.array(n)
             else:
@@ -275,3 +293,15 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     """(key, n_tokens bigint) of every row; 0 for null and empty texts."""
     rows, kind = _id_and_text(df, key, text)
     return rows.mapInArrow(_encoder(vocabulary, True, [key, "n_tokens"]), f"`{key}` {kind}, n_tokens bigint")
+
+
+def decoded_texts(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of every row: the vocabulary strings of the ids, joined. Null and empty lists give an empty text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(vocabulary)
+        for batch in batches:
+            texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")

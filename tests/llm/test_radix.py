@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.llm.radix import combine, digest, ordered_bits, percentiles, percentiles_of, value_of
+from strandlake.llm.radix import combine, digest, percentiles, percentiles_of, value_of, with_bits
 
 
 def data(n=600, seed=0):
@@ -24,8 +24,8 @@ def brute(rows, pcts, least=1):
 
 def test_order_and_round_trip(spark):
     v = sorted([-math.inf, -1.7e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, 2.5, 1.7e308, math.inf])
-    df = spark.createDataFrame([(x,) for x in v], "v double").select("v", ordered_bits(F.col("v")).alias("b"))
-    rows = df.select("v", "b", value_of(F.col("b")).alias("w")).collect()
+    df = with_bits(spark.createDataFrame([(x, x) for x in v] + [(0.5, None), (0.5, math.nan)], "v double, x double"), ["v"], "x")
+    rows = df.select("v", F.col("_sl_bits").alias("b"), value_of(F.col("_sl_bits")).alias("w")).collect()
     assert [r["b"] for r in rows] == sorted(r["b"] for r in rows) and len({r["b"] for r in rows}) == len(v)
     assert all(r["v"] == r["w"] for r in rows)
 

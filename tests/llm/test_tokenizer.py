@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from strandlake.llm.tokenizer import VOCABULARY, ByteBPE, token_counts, token_ids
+from strandlake.llm.tokenizer import VOCABULARY, ByteBPE, decoded_texts, loaded, token_counts, token_ids
 
 tiktoken = pytest.importorskip("tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,3 +46,20 @@ def test_rows(spark, both):
     assert got == sorted((i, both[1].encode_ordinary(t or "")) for i, t, _ in rows)
     assert {(r["doc_id"], r["n_tokens"]) for r in token_counts(df).collect()} == {(i, len(both[1].encode_ordinary(t or ""))) for i, t, _ in rows}
     assert token_ids(df.where("false")).collect() == []
+
+
+def test_long_texts_in_parts_give_the_same():
+    bpe = loaded(VOCABULARY)
+    rng = random.Random(4)
+    for block in (1, 7, 40):
+        for _ in range(60):
+            text = "".join(rng.choice(["we've ", "don't", " x", "\n\n  a", "12", "'s", " '", "é", "　", ".", "  ", "it's 5"]) for _ in range(60))
+            assert bpe.encode_long(text, block=block)[0].tolist() == bpe.encode(text)
+            assert bpe.encode_long(text, True, block)[1].tolist() == [len(bpe.encode(text))]
+
+
+def test_decoding(spark):
+    texts = ["", None, "  ", "a\tb", "naïve – ☃ 𝒳", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in decoded_texts(token_ids(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
