@@ -21,10 +21,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the cluster; a local one is made only where the setting is absent."""
+    """The folder shared by the cluster; in local mode one is made where the setting is absent."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="strandlake-"))
         atexit.register(shutil.rmtree, _OWN[0], True)

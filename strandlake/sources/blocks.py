@@ -1,31 +1,74 @@
-"""Block-oriented text: alignments (MAF, AXT, LAV, EPO) and chains. A block is one record of the scan, so files split between tasks."""
+"""Block-oriented text: alignments (MAF, AXT, LAV, EPO) and chains. Files split between tasks; line ends may be of either kind."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import reverse_complement
-from strandlake.session import with_once
+from strandlake.session import small_side, stage, with_once
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """block_id and lines of the blocks between empty lines; ids are unique, in no promised order."""
-    raw = spark.read.text(path, lineSep="\n\n").withColumn("block_id", F.monotonically_increasing_id())
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
-    return with_once(raw.select("block_id", "value"), "lines", lines).drop("value").where(F.size("lines") > 0)
+def _records(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """block_id, head and lines of the blocks whose first line begins with ``mark``, up to an empty or blank line.
+
+    ``head`` is the first line without its mark. A line end and the mark divide the records of the
+    scan, so nothing is shuffled; ids are unique, in no promised order. Comment lines are left out.
+    """
+    raw = spark.read.text(path, lineSep=f"\n{mark}").where(F.rlike("value", F.lit(rf"\A(?:{mark})?(?:\s|\z)")))
+    unix = F.regexp_replace(F.regexp_replace("value", r"\r(?=\n|\z)", ""), rf"\A{mark}", "")
+    block = F.split(unix, r"\n[ \t]*(?:\n|\z)", 2)[0]
+    lines = with_once(raw.select(F.monotonically_increasing_id().alias("block_id"), block.alias("_sl_b")), "lines", F.split("_sl_b", "\n"))
+    rest = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+    return lines.select("block_id", F.trim(F.col("lines")[0]).alias("head"), rest.alias("lines"))
+
+
+def _headed_blocks(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """block_id and lines of the blocks that begin at lines like ``header``; lines before the first one are left out.
+
+    Lines are counted within each split of a file as they are read; the splits' counts are put together
+    afterwards, one row a split.
+    """
+    pattern = header
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, local, line = None, 0, 0
+        for batch in batches:
+            at = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            starts = pc.fill_null(pc.match_substring_regex(batch.column(0), pattern), False).to_numpy(zero_copy_only=False)
+            no, order = np.zeros(len(at), "int64"), np.zeros(len(at), "int64")
+            for i, own in enumerate(at):
+                if own != where:
+                    where, local, line = own, 0, 0
+                local += bool(starts[i])
+                line += 1
+                no[i], order[i] = local, line
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(no), pa.array(order)], names=["value", "file", "split", "local", "line"])
+
+    text = spark.read.text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    kept = text.where(~F.startswith("value", F.lit("#")))
+    lines = stage(kept.mapInArrow(work, "value string, file string, split bigint, local bigint, line bigint"), "lines")
+    splits = lines.df.groupBy("file", "split").agg(F.max("local").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(splits.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "splits").df
+    numbered = lines.df.join(small_side(offsets, offsets.count()), ["file", "split"]).withColumn("no", F.col("offset") + F.col("local"))
+    found = numbered.where((F.col("no") > 0) & (F.trim("value") != "")).groupBy("file", "no").agg(F.sort_array(F.collect_list(F.struct("split", "line", "value"))).alias("x"))
+    return found.select(F.xxhash64("file", "no").alias("block_id"), F.col("x.value").alias("lines"))
 
 
 def read_maf(spark: SparkSession, path: str, *, e_rows: bool = True) -> DataFrame:
     """One row a component: block_id, score, comp_no, src, start_pos, aln_size, strand, src_size, text, quality,
     left/right status and length, empty_status."""
-    rec = _records(spark, path).where(F.exists("lines", lambda x: F.startswith(x, F.lit("a"))))
-    rows = rec.select("block_id", "lines", F.regexp_extract(F.filter("lines", lambda x: F.rlike(x, F.lit(r"\Aa\b")))[0], r"score=(\S+)", 1).alias("_s"))
-    each = rows.select("block_id", "lines", F.when(F.col("_s") != "", F.col("_s").try_cast("double")).alias("score"), F.posexplode("lines").alias("i", "line"))
+    rec = _records(spark, path, "a")
+    score = F.regexp_extract("head", r"score=(\S+)", 1)
+    each = rec.select("block_id", "lines", F.when(score != "", score.try_cast("double")).alias("score"), F.posexplode("lines").alias("i", "line"))
     kinds = "[se]" if e_rows else "s"
     each = with_once(each.where(F.rlike("line", F.lit(rf"\A{kinds}\s"))), "c", F.split(F.trim("line"), r"\s+"))
     # Rows of neighbours and qualities follow their sequence's row.
@@ -47,7 +90,8 @@ def read_maf(spark: SparkSession, path: str, *, e_rows: bool = True) -> DataFram
 
 def read_axt(spark: SparkSession, path: str, *, lengths: DataFrame | None = None) -> DataFrame:
     """Components 0 and 1 of every pair, zero-based half-open. Source sizes come from lengths (name, length)."""
-    rec = with_once(_records(spark, path).where(F.size("lines") >= 3), "h", F.split(F.trim(F.col("lines")[0]), r"\s+")).where(F.size("h") >= 8)
+    blocks = _headed_blocks(spark, path, r"^\s*[0-9]+\s+\S+\s+[0-9]+\s+[0-9]+\s+\S+\s+[0-9]+\s+[0-9]+\s+[-+]")
+    rec = with_once(blocks.where(F.size("lines") >= 3), "h", F.split(F.trim(F.col("lines")[0]), r"\s+"))
     h = F.col("h")
     comp = lambda no, a, strand, line: F.struct(
         F.lit(no).alias("comp_no"), h[a].alias("src"), (h[a + 1].cast("bigint") - 1).alias("start_pos"),
@@ -61,16 +105,15 @@ def read_axt(spark: SparkSession, path: str, *, lengths: DataFrame | None = None
 
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
     """One row a chain with arrays sizes, dt, dq; a chain whose blocks don't add up fails the query."""
-    rec = _records(spark, path).where(F.startswith(F.col("lines")[0], F.lit("chain")))
-    rows = with_once(rec, "h", F.split(F.trim(F.col("lines")[0]), r"\s+"))
-    steps = F.transform(F.slice("lines", F.lit(2), F.size("lines") - 1), lambda x: F.split(F.trim(x), r"\s+"))
+    rows = with_once(_records(spark, path, "chain"), "h", F.split("head", r"\s+"))
+    steps = F.transform("lines", lambda x: F.split(F.trim(x), r"\s+"))
     rows = with_once(rows, "st", steps)
     num = lambda i: F.transform("st", lambda s: F.coalesce(F.get(s, F.lit(i)).cast("bigint"), F.lit(0)))
     h = F.col("h")
     out = rows.select(
-        h[12].alias("chain_id"), h[1].cast("double").alias("score"), h[2].alias("t_name"), h[3].cast("bigint").alias("t_size"), h[4].alias("t_strand"),
-        h[5].cast("bigint").alias("t_start"), h[6].cast("bigint").alias("t_end"), h[7].alias("q_name"), h[8].cast("bigint").alias("q_size"),
-        h[9].alias("q_strand"), h[10].cast("bigint").alias("q_start"), h[11].cast("bigint").alias("q_end"), num(0).alias("sizes"), num(1).alias("dt"), num(2).alias("dq"),
+        h[11].alias("chain_id"), h[0].cast("double").alias("score"), h[1].alias("t_name"), h[2].cast("bigint").alias("t_size"), h[3].alias("t_strand"),
+        h[4].cast("bigint").alias("t_start"), h[5].cast("bigint").alias("t_end"), h[6].alias("q_name"), h[7].cast("bigint").alias("q_size"),
+        h[8].alias("q_strand"), h[9].cast("bigint").alias("q_start"), h[10].cast("bigint").alias("q_end"), num(0).alias("sizes"), num(1).alias("dt"), num(2).alias("dq"),
     )
     total = lambda *cs: F.aggregate(F.concat(*cs), F.lit(0).cast("bigint"), lambda s, v: s + v)
     fits = (total("sizes", "dt") == F.col("t_end") - F.col("t_start")) & (total("sizes", "dq") == F.col("q_end") - F.col("q_start"))

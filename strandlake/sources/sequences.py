@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import re
 
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import reverse_complement
+from strandlake.session import with_once
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, description, text (white space removed) of every record; a file's head without a name has the name null."""
-    rec = spark.read.text(path, lineSep=">").where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
-    at = F.instr("value", "\n")
-    # Only the first record of a file can lack a header: a header line holds a name and is followed by a line end.
-    bare = F.rlike("value", F.lit(r"\A[ACGTUNacgtunRYKMBDHVryksmbdhv\-\s]+\z"))
-    head = F.when(bare & (at == 0), "").otherwise(F.trim(F.substring_index("value", "\n", 1)))
-    body = F.when(bare & (at == 0), F.col("value")).otherwise(F.expr("substring(value, instr(value, '\n') + 1)"))
-    name = F.split(head, r"\s+")[0]
-    return rec.select(F.when(name != "", name).alias("name"), head.alias("description"), F.regexp_replace(body, r"\s+", "").alias("text"))
+    # Records are divided where a line begins with the mark; only the first one of a file keeps it, or has no header.
+    rec = spark.read.text(path, lineSep="\n>").where(F.rlike("value", F.lit(r"\S")))
+    first = F.rlike("value", F.lit(r"\A\s*>"))
+    bare = ~first & F.rlike("value", F.lit(r"\A[ACGTUNacgtunRYKMBDHVryksmbdhv\-\s]+\z"))
+    record = F.regexp_replace("value", r"\A\s*>", "")
+    whole = with_once(rec.select(record.alias("r"), bare.alias("bare")), "head", F.when(F.col("bare"), "").otherwise(F.trim(F.regexp_extract("r", r"\A([^\r\n]*)", 1))))
+    body = F.when(F.col("bare"), F.col("r")).otherwise(F.regexp_replace("r", r"\A[^\n]*\n?", ""))
+    name = F.split("head", r"\s+")[0]
+    return whole.select(F.when(name != "", name).alias("name"), F.col("head").alias("description"), F.regexp_replace(body, r"\s+", "").alias("text"))
 
 
 def chunked(sequences: DataFrame, size: int = 100_000) -> DataFrame:

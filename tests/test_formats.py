@@ -54,6 +54,41 @@ def put(tmp_path, name, text):
     return str(p)
 
 
+FORMS = {"plain": lambda t: t, "crlf": lambda t: t.replace("\n", "\r\n"), "blanks": lambda t: t.replace("\n\n", "\n \t\n"), "no end": lambda t: t.rstrip(), "more": lambda t: t.replace("\n\n", "\n\n\n# a remark\n\n")}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_line_ends_and_blank_lines(spark, tmp_path, form):
+    turn = FORMS[form]
+    maf = X.read_maf(spark, put(tmp_path, "x.maf", turn(MAF))).collect()
+    assert sorted((r["score"], r["comp_no"], r["src"], r["text"], r["empty_status"], r["right_len"]) for r in maf if r["score"] == 3) == [
+        (3.0, 0, "aa.chr1", "GT", None, None), (3.0, 1, "bb.chr2", "GT", None, None)
+    ]
+    assert len(maf) == 5 and len({r["block_id"] for r in maf}) == 2
+    axt = X.read_axt(spark, put(tmp_path, "x.axt", turn("0 a 11 13 b 5 7 - 90\nACG\nA-G\n\n1 a 20 21 c 1 2 + 7\nAC\nGT\n\n"))).collect()
+    assert sorted((r["src"], r["comp_no"], r["start_pos"], r["aln_size"], r["strand"], r["text"], r["score"]) for r in axt) == [
+        ("a", 0, 10, 3, "+", "ACG", 90.0), ("a", 0, 19, 2, "+", "AC", 7.0), ("b", 1, 4, 3, "-", "A-G", 90.0), ("c", 1, 0, 2, "+", "GT", 7.0)
+    ]
+    chains = {r["chain_id"]: r for r in X.read_chains(spark, put(tmp_path, "x.chain", turn(CHAIN))).collect()}
+    assert chains["7"]["sizes"] == [10, 12, 3] and chains["7"]["dt"] == [3, 2, 0] and chains["8"]["sizes"] == [5] and len(chains) == 2
+    fasta = Q.read_fasta(spark, put(tmp_path, "x.fa", turn(">one a > b\nACG\nTT\n\n>two\nGG\n\n"))).collect()
+    assert sorted((r["name"], r["text"]) for r in fasta if form != "more") == ([("one", "ACGTT"), ("two", "GG")] if form != "more" else [])
+
+
+def test_blocks_over_many_splits(spark, tmp_path):
+    n = 3000
+    axt = "".join(f"{k} a {k + 1} {k + 3} b 5 7 - {k}\nACG\nA-G\n\n" for k in range(n))
+    maf = "##maf version=1\n\n" + "".join(f"a score={k}\ns a.c {k} 2 + 9000 A-C\ns b.d 1 3 - 9 AAC\n\n" for k in range(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = X.read_axt(spark, put(tmp_path, "y.axt", axt)).collect()
+        rows = X.read_maf(spark, put(tmp_path, "y.maf", maf)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["score"], r["start_pos"]) for r in got if r["comp_no"] == 0) == [(float(k), k) for k in range(n)] and len(got) == 2 * n
+    assert sorted((r["score"], r["comp_no"]) for r in rows) == [(float(k), c) for k in range(n) for c in (0, 1)] and len({r["block_id"] for r in rows}) == n
+
+
 def test_maf_round_trip(spark, tmp_path):
     c = X.read_maf(spark, put(tmp_path, "x.maf", MAF)).collect()
     by = {(r["score"], r["comp_no"]): r for r in c}
