@@ -7,10 +7,13 @@ chunks, and the chunks' states are merged in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from strandlake.session import Staged, null_safe, small_side, stage
 
@@ -111,26 +114,67 @@ def key_totals(
     return rows.groupBy(*keys, CHUNK).agg(*partial).groupBy(*keys).agg(*merged)
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Sequence[str] = ()) -> DataFrame:
+def _carried(keys: list[str], values: list[str], names: list[str]):
+    """Row numbers and running sums within the key, of a sorted partition, from its beginning."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, sums = None, 0, [0] * len(values)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            change = np.zeros(n, bool)
+            for k in keys:
+                code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                change[1:] |= code[1:] != code[:-1]
+            own = [batch.column(k)[0].as_py() for k in keys]
+            goes_on = last is not None and own == last
+            change[0] = not goes_on
+            at = np.flatnonzero(change)
+            group = np.cumsum(change)  # 0: the key that goes on
+            first = np.concatenate([[0], at])[group]
+            number = np.arange(1, n + 1) - first + np.where(group == 0, seen, 0)
+            out = [pa.array(number)]
+            for i, v in enumerate(values):
+                value = batch.column(v).fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(value)
+                before = np.where(first > 0, total[first - 1], 0)
+                run = total - before + np.where(group == 0, sums[i], 0)
+                out.append(pa.array(run))
+                sums[i] = run[-1]
+            last, seen = [batch.column(k)[-1].as_py() for k in keys], int(number[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
+
+    return work
+
+
+_WHOLE = ("byte", "short", "integer", "long")
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Sequence[str] = (), *, part: bool = False) -> DataFrame:
     """Adds ``row_no`` (from 1, by ``order`` within the key) and ``run_<v>`` for every value.
 
     Rows are cut into ranges of (keys, order), so a key of any size is spread over many tasks; a range
-    starts from the totals of the ranges before it. Nulls add nothing to a running sum.
+    starts from the totals of the ranges before it. One shuffle: numbers and sums run along the sorted
+    ranges as they are written, and what lies before a range is added for keys that began in an earlier
+    one, at most one row a range. Nulls add nothing to a running sum; sums are bigint or double. With
+    ``part`` each row's range is kept (``_sl_part``); rows of a range that a task reads are in order.
     """
-    keys = list(keys)
+    keys, values = list(keys), list(values)
     by = [*[F.col(k) for k in keys], *order]
-    rows = stage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(ROW, F.monotonically_increasing_id()), "ordered")
-    parts = rows.df.withColumn(PART, F.shiftright(ROW, 33))
-    per_part = parts.groupBy(*keys, PART).agg(F.count("*").alias("_sl_n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sl_t_{v}") for v in values])
+    kind = {v: "bigint" if df.schema[v].dataType.typeName() in _WHOLE else "double" for v in values}
+    added = StructType([StructField("row_no", LongType()), *[StructField(f"run_{v}", DoubleType() if kind[v] == "double" else LongType()) for v in values]])
+    plain = df.withColumns({v: F.col(v).cast(kind[v]) for v in values}) if values else df
+    schema = StructType([*plain.schema.fields, *added.fields])
+    ranges = plain.repartitionByRange(*by).sortWithinPartitions(*by)
+    counted = ranges.mapInArrow(_carried(keys, values, added.names), schema)
+    rows = stage(counted.withColumn(PART, F.spark_partition_id()), "ordered").df
+    tail = F.max_by(F.struct(*added.names), "row_no")
+    per_part = rows.groupBy(*keys, PART).agg(tail.alias("t"))
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    sums = {"_sl_n": "_sl_b", **{f"_sl_t_{v}": f"_sl_b_{v}" for v in values}}
-    offsets = stage(per_part.select(*keys, PART, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()]), "offsets")
-    local = Window.partitionBy(*keys, PART).orderBy(ROW)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    inside = parts.withColumns(
-        {"row_no": F.row_number().over(local), **{f"run_{v}": F.coalesce(F.sum(v).over(upto), F.lit(0)) for v in values}}
-    )
-    cond, side = null_safe(inside, offsets.df, [*keys, PART])
-    joined = inside.join(small_side(side, offsets.df.count()), cond)
-    totals = [(F.col("row_no") + F.col("_sl_b")).alias("row_no"), *[(F.col(f"run_{v}") + F.col(f"_sl_b_{v}")).alias(f"run_{v}") for v in values]]
-    return joined.select(*df.columns, *totals)
+    sums = {c: F.sum(F.col("t")[c]).over(before).alias(f"_sl_b_{c}") for c in added.names}
+    offsets = stage(per_part.select(*keys, PART, *sums.values()).where("_sl_b_row_no is not null"), "offsets")
+    cond, side = null_safe(rows, offsets.df, [*keys, PART])
+    joined = rows.join(small_side(side, offsets.df.count()), cond, "left")
+    totals = [(F.col(c) + F.coalesce(f"_sl_b_{c}", F.lit(0))).alias(c) for c in added.names]
+    return joined.select(*[rows[c] for c in [*df.columns, *([PART] if part else [])]], *totals)

@@ -9,12 +9,14 @@ Intervals with a null in their three columns are in no pair, and empty ones are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.chunking import running_totals
+from strandlake.operators.chunking import PART, running_totals
 from strandlake.operators.periods import periods_and_gaps
 from strandlake.session import stage
 
@@ -143,8 +145,26 @@ def flag_overlap(a: DataFrame, b: DataFrame, key: str, *, min_cols: int = 1) ->
 
 
 def count_overlaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """a with ``n_overlaps``, 0 where there are none."""
-    n = overlap_pairs(a.select(key, CHROM, START, END), b).groupBy(key).agg(F.count("*").alias("n_overlaps"))
+    """a with ``n_overlaps``, 0 where there are none.
+
+    No pairs: the starts of b before an interval's end less the ends of b up to its start, from counts
+    that run along the positions.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    no_key = F.lit(None).cast(a.schema[key].dataType)
+
+    def rows(df: DataFrame, own, start_order: int, end_order: int, count) -> DataFrame:
+        both = F.array(
+            F.struct(own.alias("_sl_key"), F.col(START).alias("p"), F.lit(start_order).alias("o"), count.alias("s"), none.alias("e")),
+            F.struct(own.alias("_sl_key"), F.col(END).alias("p"), F.lit(end_order).alias("o"), none.alias("s"), count.alias("e")),
+        )
+        return valid(df).select(CHROM, F.inline(both))
+
+    # At one position: ends of b, then the intervals' starts (1) and ends (2), then starts of b.
+    events = rows(b, no_key, 3, 0, one).groupBy(CHROM, "p", "o").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("_sl_key", no_key)
+    asked = rows(a, F.col(key), 1, 2, none)
+    run = running_totals(events.unionByName(asked), [CHROM], ["p", "o"], ["s", "e"]).where("o in (1, 2)")
+    n = run.groupBy(F.col("_sl_key").alias(key)).agg(F.sum(F.when(F.col("o") == 2, F.col("run_s")).otherwise(-F.col("run_e"))).alias("n_overlaps"))
     return a.join(n, key, "left").withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0)))
 
 
@@ -171,39 +191,105 @@ def subtract(a: DataFrame, others: Sequence[DataFrame], key: str, *, pieces: boo
     """a without what any other set covers.
 
     Rows covered by fewer than ``min_cols`` bases stay whole; of the others the uncovered parts come
-    out, or nothing if ``pieces`` is false.
+    out, or nothing if ``pieces`` is false. The periods of the other sets and the gaps between them come
+    from one pass, and one overlap join with both tells a row's covered bases and its uncovered parts.
     """
     union = others[0].select(CHROM, START, END)
     for o in others[1:]:
         union = union.unionByName(o.select(CHROM, START, END))
-    gone = stage(merge(union), "union").df
     rows = valid(a)
-    hit = stage(covered_of(rows, gone, key).where(F.col("covered") >= min_cols).select(key), "hit").df
-    whole = rows.join(hit, key, "left_anti")
     if not pieces:
-        return whole
-    cut = rows.join(hit, key, "left_semi")
-    return whole.unionByName(_clip(overlap_pairs(cut, uncovered(gone, rows))).select(*a.columns))
-
-
-def uncovered(merged: DataFrame, within: DataFrame) -> DataFrame:
-    """What a merged set leaves free from each chrom's first to last position of ``within``."""
-    span = within.groupBy(CHROM).agg(F.min(START).alias("_sl_lo"), F.max(END).alias("_sl_hi"))
-    inner = periods_and_gaps(merged).where("kind = 'gap'").drop("kind")
-    ends = merged.groupBy(CHROM).agg(F.min(START).alias("_sl_first"), F.max(END).alias("_sl_last"))
-    edge = span.join(ends, CHROM, "left")
-    outer = edge.select(
-        CHROM,
-        F.inline(
-            F.when(F.col("_sl_first").isNull(), F.array(F.struct(F.col("_sl_lo").alias(START), F.col("_sl_hi").alias(END)))).otherwise(
-                F.array(
-                    F.struct(F.col("_sl_lo").alias(START), F.col("_sl_first").alias(END)),
-                    F.struct(F.col("_sl_last").alias(START), F.col("_sl_hi").alias(END)),
-                )
+        hit = covered_of(rows, merge(union), key).where(F.col("covered") >= min_cols).select(key)
+        return rows.join(hit, key, "left_anti")
+    inner = stage(periods_and_gaps(union), "segments").df
+    ends = inner.where("kind = 'period'").groupBy(CHROM).agg(F.min(START).alias("_sl_lo"), F.max(END).alias("_sl_hi"))
+    # Before the first and after the last period everything is free.
+    outer = ends.select(
+        F.lit("gap").alias("kind"), CHROM,
+        F.inline(F.array(F.struct(F.lit(-_FAR).alias(START), F.col("_sl_lo").alias(END)), F.struct(F.col("_sl_hi").alias(START), F.lit(_FAR).alias(END)))),
+    )
+    parts = stage(overlap_pairs(rows, inner.unionByName(outer), bring=["kind"]), "parts").df
+    covered = parts.where("b_kind = 'period'").groupBy(key).agg(F.sum("overlap").alias("_sl_n"))
+    hit = covered.where(F.col("_sl_n") >= min_cols).select(key)
+    free = parts.where("b_kind = 'gap'").drop("b_kind").join(hit, key, "left_semi")
+    return rows.join(hit, key, "left_anti").unionByName(_clip(free).select(*a.columns))
+
+
+def _boundaries(state):
+    """Pairs the starts and ends of runs along sorted events; those whose other side lies in another range come out alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waits: tuple | None = None  # (part, chrom, start) of a run that has no end yet
+
+        def row(chrom, start, end) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chrom], pa.string()), pa.array([start], pa.int64()), pa.array([end], pa.int64())], names=[CHROM, START, END])
+
+        for batch in batches:
+            pos, na, nb, da, db = (batch.column(c).to_numpy() for c in ("p", "na", "nb", "da", "db"))
+            now, was = state(na > 0, nb > 0), state(na - da > 0, nb - db > 0)
+            at = np.flatnonzero(now != was)
+            if not len(at):
+                continue
+            edges = batch.take(pa.array(at))
+            chroms = edges.column(CHROM).dictionary_encode()
+            code, part, opens, p = chroms.indices.to_numpy(), edges.column("part").to_numpy(), now[at], pos[at]
+            if waits is not None:
+                if waits[0] == part[0] and waits[1] == chroms.dictionary[int(code[0])].as_py() and not opens[0]:
+                    yield row(waits[1], waits[2], int(p[0]))
+                    code, part, opens, p = code[1:], part[1:], opens[1:], p[1:]
+                else:
+                    yield row(waits[1], waits[2], None)
+                waits = None
+                if not len(p):
+                    continue
+            # A start is closed by the next edge of the same chrom and range.
+            paired = np.append(opens[:-1] & ~opens[1:] & (code[1:] == code[:-1]) & (part[1:] == part[:-1]), False)
+            taken = np.append(False, paired[:-1])
+            lone = ~paired & ~taken
+            if lone[-1] and opens[-1]:
+                waits, lone[-1] = (int(part[-1]), chroms.dictionary[int(code[-1])].as_py(), int(p[-1])), False
+            i, j = np.flatnonzero(paired), np.flatnonzero(lone)
+            rows = np.concatenate([i, j])
+            start, end = np.concatenate([p[i], p[j]]), np.concatenate([p[np.minimum(i + 1, len(p) - 1)], p[j]])
+            no_start = np.concatenate([np.zeros(len(i), bool), ~opens[j]])
+            no_end = np.concatenate([np.zeros(len(i), bool), opens[j]])
+            yield pa.RecordBatch.from_arrays(
+                [chroms.dictionary.take(pa.array(code[rows])), pa.array(start, mask=no_start), pa.array(end, mask=no_end)], names=[CHROM, START, END]
             )
-        ),
-    )
-    return inner.unionByName(valid(outer))
+        if waits is not None:
+            yield row(waits[1], waits[2], None)
+
+    return work
+
+
+def _swept(a: DataFrame, b: DataFrame) -> DataFrame:
+    """chrom, p, na, nb, da, db, part: how many rows of a and of b begin (less those that end) at p, and cover what follows it.
+
+    One shuffle, of one row a boundary position; rows of a part are in order.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def edges(df: DataFrame, in_a: bool) -> DataFrame:
+        up = lambda at, n: F.struct(F.col(at).alias("p"), (n if in_a else none).alias("da"), (none if in_a else n).alias("db"))
+        return valid(df).select(CHROM, F.inline(F.array(up(START, one), up(END, -one))))
+
+    events = edges(a, True).unionByName(edges(b, False)).groupBy(CHROM, "p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    run = running_totals(events.withColumn("p", F.col("p").cast("bigint")), [CHROM], ["p"], ["da", "db"], part=True)
+    return run.select(F.col(CHROM).cast("string").alias(CHROM), "p", F.col("run_da").alias("na"), F.col("run_db").alias("nb"), "da", "db", F.col(PART).alias("part"))
+
+
+def sweep(a: DataFrame, b: DataFrame, state) -> DataFrame:
+    """Maximal runs of positions where ``state(in a, in b)`` (of boolean arrays) holds; it must not hold where neither set is.
+
+    The sets need not be merged. One sweep over both sets' boundaries, cut into ranges; a run that
+    crosses ranges is put together from its two ends.
+    """
+    found = stage(_swept(a, b).mapInArrow(_boundaries(state), f"{CHROM} string, {START} bigint, {END} bigint"), "runs").df
+    whole = found.where(F.col(START).isNotNull() & F.col(END).isNotNull())
+    halves = found.where(F.col(START).isNull() | F.col(END).isNull())  # at most two a chrom and range
+    along = Window.partitionBy(CHROM).orderBy(F.coalesce(START, END))
+    joined = halves.withColumn("_sl_end", F.lead(END).over(along)).where(F.col(START).isNotNull()).select(CHROM, START, F.col("_sl_end").alias(END))
+    return whole.unionByName(joined)
 
 
 def base_union(*sets: DataFrame) -> DataFrame:
@@ -214,37 +300,39 @@ def base_union(*sets: DataFrame) -> DataFrame:
 
 
 def base_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Positions in both merged sets."""
-    return _clip(overlap_pairs(a.select(CHROM, START, END), b)).select(CHROM, START, END)
+    """Positions in both sets."""
+    return sweep(a, b, lambda x, y: x & y)
 
 
 def base_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Positions of the merged set a that aren't in the merged set b."""
-    left = a.select(CHROM, START, END)
-    return _clip(overlap_pairs(left, uncovered(b, left))).select(CHROM, START, END)
+    """Positions of the set a that aren't in the set b."""
+    return sweep(a, b, lambda x, y: x & ~y)
 
 
 def base_xor(a: DataFrame, b: DataFrame) -> DataFrame:
-    x, y = stage(merge(a), "x").df, stage(merge(b), "y").df
-    return merge(base_subtract(x, y).unionByName(base_subtract(y, x)))
+    return sweep(a, b, lambda x, y: x ^ y)
 
 
 def complement(df: DataFrame, lengths: DataFrame, *, all_chroms: bool = False) -> DataFrame:
     """What the set leaves free of each chrom of (name, length); chroms without intervals if ``all_chroms``."""
     sizes = lengths.where("name is not null and length > 0").groupBy(F.col("name").alias(CHROM)).agg(F.max("length").alias("length"))
     whole = sizes.select(CHROM, F.lit(0).cast("bigint").alias(START), F.col("length").alias(END))
-    runs = stage(merge(df), "runs").df
     if not all_chroms:
-        whole = whole.join(runs.select(CHROM).distinct(), CHROM, "left_semi")
-    return base_subtract(whole, runs)
+        whole = whole.join(valid(df).select(CHROM).distinct(), CHROM, "left_semi")
+    return base_subtract(whole, df)
 
 
 def basewise_summary(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: bases in both, only in the first, only in the second set."""
-    x, y = stage(merge(a), "x").df, stage(merge(b), "y").df
-    total = lambda d, n: d.agg(F.coalesce(F.sum(F.col(END) - F.col(START)), F.lit(0)).alias(n))
-    one = total(base_intersect(x, y), "in_both").join(total(x, "n_a"), how="cross").join(total(y, "n_b"), how="cross")  # one row each
-    return one.select("in_both", (F.col("n_a") - F.col("in_both")).alias("only_first"), (F.col("n_b") - F.col("in_both")).alias("only_second"))
+    swept = stage(_swept(a, b), "swept").df
+    # A boundary's bases reach to the next one: the weight of a position is minus its own for what begins there and plus for what ends.
+    had = {"x": F.col("na") > 0, "y": F.col("nb") > 0, "wx": F.col("na") - F.col("da") > 0, "wy": F.col("nb") - F.col("db") > 0}
+    bases = lambda now, was: F.coalesce(F.sum(F.when(was, F.col("p")).otherwise(0) - F.when(now, F.col("p")).otherwise(0)), F.lit(0))
+    return swept.select("p", *[v.alias(k) for k, v in had.items()]).agg(
+        bases(F.col("x") & F.col("y"), F.col("wx") & F.col("wy")).alias("in_both"),
+        bases(F.col("x") & ~F.col("y"), F.col("wx") & ~F.col("wy")).alias("only_first"),
+        bases(~F.col("x") & F.col("y"), ~F.col("wx") & F.col("wy")).alias("only_second"),
+    )
 
 
 def clusters(df: DataFrame, key: str, *, max_dist: int = 0, min_members: int = 1) -> DataFrame:
@@ -261,25 +349,32 @@ def cluster_members(df: DataFrame, key: str, *, max_dist: int = 0) -> DataFrame:
 
 
 def _near(a: DataFrame, b: DataFrame, key_a: str, key_b: str, n: int, max_dist: int, side: Column) -> DataFrame:
-    """side: 'before', 'after' or null for each row of a."""
-    rows = a.where(F.col(CHROM).isNotNull() & F.col(START).isNotNull() & F.col(END).isNotNull()).withColumn("_sl_side", side)
+    """side: 'before', 'after' or null for each row of a.
+
+    No pairs beyond the answer: along the sorted edges every interval of b has its number and every row
+    of a the number of b's it has passed, so its neighbours are the last n numbers.
+    """
+    asked = a.where(F.col(CHROM).isNotNull() & F.col(START).isNotNull() & F.col(END).isNotNull()).withColumn("_sl_side", side)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     out = []
     for name in ("before", "after"):
         before = name == "before"
-        window = rows.where(F.col("_sl_side") == name).select(
-            F.col(key_a).alias("_sl_key"), CHROM,
-            (F.col(START) - max_dist if before else F.col(END) + 1).alias(START),
-            (F.col(START) if before else F.col(END) + max_dist + 1).alias(END),
-        )
-        edge = F.col(END) if before else F.col(START)
-        points = valid(b).select(
-            F.col(key_b).alias("near"), CHROM, F.col(START).alias("s"), F.col(END).alias("e"), edge.alias(START), (edge + 1).alias(END)
+        queries = asked.where(F.col("_sl_side") == name).select(
+            CHROM, F.col(START if before else END).cast("bigint").alias("p"), F.lit(0).alias("o"), none.alias("c"), F.col(key_a).alias("_sl_key")
         )
-        pairs = overlap_pairs(window, points, bring=["near", "s", "e"])
-        distance = F.col(END) - F.col("b_e") if before else F.col("b_s") - F.col(START) + 1
-        best = Window.partitionBy("_sl_key").orderBy("distance", "b_s", "b_e", "b_near")
-        ranked = pairs.withColumn("distance", distance).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-        out.append(ranked.select(F.col("_sl_key").alias(key_a), F.lit(name).alias("side"), F.col("b_near").alias("near"), "distance", "rank"))
+        points = valid(b).select(
+            CHROM, F.col(END if before else START).cast("bigint").alias("p"), F.lit(1).alias("o"), one.alias("c"),
+            F.col(key_b).alias("near"), F.col(START).alias("s"), F.col(END).alias("e"),
+        )
+        # The nearest comes last: of equal distance the one with the smallest start, end and key. Touching ones come after the row.
+        order = [F.col("p") if before else F.col("p").desc(), "o", F.col("s").desc(), F.col("e").desc(), F.col("near").desc()]
+        run = stage(running_totals(queries.unionByName(points, allowMissingColumns=True), [CHROM], order, ["c"]), "near").df
+        numbered = run.where("o = 1").select(CHROM, F.col("run_c").alias("_sl_no"), "near", F.col("p").alias("b_p"))
+        wanted = run.where("o = 0").select("_sl_key", CHROM, "p", "run_c", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
+        wanted = wanted.withColumn("_sl_no", F.col("run_c") - F.col("rank") + 1).where("_sl_no > 0")
+        distance = F.col("p") - F.col("b_p") if before else F.col("b_p") - F.col("p")
+        found = wanted.join(numbered, [CHROM, "_sl_no"]).withColumn("distance", distance).where(F.col("distance") <= max_dist)
+        out.append(found.select(F.col("_sl_key").alias(key_a), F.lit(name).alias("side"), "near", "distance", "rank"))
     return out[0].unionByName(out[1])
 
 

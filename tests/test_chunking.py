@@ -45,3 +45,22 @@ def test_running_totals(spark):
         no[k] += 1
         want[i] = (no[k], total[k])
     assert {r["id"]: (r["row_no"], r["run_v"]) for r in got} == want
+
+
+def test_running_totals_of_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.operators.chunking import running_totals
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "b").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"), (F.col("id") / 4).alias("w"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: (r["row_no"], r["run_v"], r["run_w"]) for r in running_totals(df.repartition(3), ["k"], ["id"], ["v", "w"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    state = {}
+    for i in range(5000):
+        k = "hot" if i % 10 else "b" if i % 20 else None
+        n, v, w = state.get(k, (0, 0, 0.0))
+        state[k] = (n + 1, v + (i if i % 7 else 0), w + i / 4)
+        assert got[i] == state[k]

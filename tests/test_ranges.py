@@ -145,3 +145,45 @@ def test_clusters(ab):
         want[c].append(run)
     expected = sorted((c, min(x[2] for x in r), max(x[3] for x in r), len(r)) for c, runs in want.items() for r in runs if len(r) >= 2)
     assert sorted(tuple(r) for r in R.clusters(da, "id", max_dist=5, min_members=2).collect()) == expected
+
+
+def test_sweeps_over_many_ranges(spark):
+    """Runs that cross ranges, gaps between files of a task, and a chrom that holds nearly all rows."""
+    rng = random.Random(11)
+
+    def rows(n):
+        return [(i, rng.choice(["hot"] * 9 + ["x", "y", None]), s, s + rng.choice([0, 1, 3, 40, 900])) for i, s in enumerate(rng.randrange(4000) for _ in range(n))]
+
+    def bases(data):
+        return {(c, p) for _, c, s, e in data if c is not None for p in range(s, e)}
+
+    def runs(found):
+        out = [(r["chrom"], r["start_pos"], r["end_pos"]) for r in found.collect()]
+        assert all(s < e for _, s, e in out)
+        apart = sorted(out)
+        assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(apart, apart[1:])), "runs are maximal"
+        return {(c, p) for c, s, e in out for p in range(s, e)}
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for seed in range(1):
+            x, y = rows(150 + seed), rows(60)
+            a, b = (spark.createDataFrame(d, "rec_id int, chrom string, start_pos bigint, end_pos bigint") for d in (x, y))
+            assert runs(R.base_intersect(a, b)) == bases(x) & bases(y)
+            assert runs(R.base_subtract(a, b)) == bases(x) - bases(y)
+            assert runs(R.base_xor(a, b)) == bases(x) ^ bases(y)
+            one = R.basewise_summary(a, b).first()
+            assert (one["in_both"], one["only_first"], one["only_second"]) == (len(bases(x) & bases(y)), len(bases(x) - bases(y)), len(bases(y) - bases(x)))
+            n = {r["rec_id"]: r["n_overlaps"] for r in R.count_overlaps(a, b, "rec_id").collect()}
+            want = {i: sum(c is not None and c == d and s < f and e > t and s < e and t < f for _, d, t, f in y) for i, c, s, e in x}
+            assert n == want
+            near = {(r["rec_id"], r["rank"]): r["near"] for r in R.nearest(a, b, "rec_id", "rec_id", n=2, max_dist=500).collect()}
+            for i, c, s, e in x:
+                best = sorted((s - f, t, f, j) for j, d, t, f in y if c is not None and d == c and t < f and f < s and s - f <= 500)[:2]
+                assert [near.get((i, k)) for k in (1, 2)] == [*[v[3] for v in best], None, None][:2]
+        none = a.where("false")
+        assert R.base_intersect(none, none).collect() == [] and runs(R.base_subtract(a, none)) == bases(x)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
