@@ -68,20 +68,22 @@ def shuffle_columns(components: DataFrame, seed: int = 0) -> DataFrame:
 
 def _place(regions: pd.DataFrame, lengths: np.ndarray, rng: np.random.Generator, overlap: bool) -> list[tuple[int, int]]:
     """Places for the lengths, longest first, within free stretches; a placed stretch is no longer free unless overlap is allowed."""
-    free = [(int(s), int(e)) for s, e in sorted(zip(regions["start_pos"], regions["end_pos"]))]
+    begins, ends = (regions[c].to_numpy("int64") for c in ("start_pos", "end_pos"))
+    m = len(begins)
+    begins, ends = (np.concatenate([x[np.lexsort((ends, begins))], np.zeros(len(lengths), "int64")]) for x in (begins, ends))
     out = []
     for n in sorted(map(int, lengths), reverse=True):
-        room = np.array([max(e - s - n + 1, 0) for s, e in free], dtype="int64")
-        total = int(room.sum())
-        if not total:
+        room = np.cumsum(np.maximum(ends[:m] - begins[:m] - n + 1, 0))
+        if not m or not room[-1]:
             raise ValueError("no place is left for an interval")
-        at = int(rng.integers(total))
-        i = int(np.searchsorted(np.cumsum(room), at, "right"))
-        start = free[i][0] + at - int(room[:i].sum())
+        at = int(rng.integers(room[-1]))
+        i = int(np.searchsorted(room, at, "right"))
+        start = int(begins[i]) + at - (int(room[i - 1]) if i else 0)
         out.append((start, start + n))
         if not overlap:
-            s, e = free.pop(i)
-            free += [(a, b) for a, b in ((s, start), (start + n, e)) if a < b]
+            # What is left before the placed stretch stays where it was, what is left after it is added.
+            begins[m], ends[m], ends[i] = start + n, ends[i], start
+            m += 1
     return out
 
 

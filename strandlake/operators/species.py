@@ -32,11 +32,9 @@ def region_coverage(components: DataFrame, regions: DataFrame, key: str) -> Data
     spans = reference_spans(components).join(here, L.BLOCK)
     # Overlapping blocks of a species count once.
     keyed = spans.select(F.concat_ws("\t", CHROM, "species").alias(CHROM), START, END)
-    names = here.select("species").distinct()
-    wanted = regions.select(key, CHROM, START, END).join(F.broadcast(names), how="cross") if names.count() <= 1000 else regions.select(key, CHROM, START, END).join(names, how="cross")
-    cut = wanted.select(key, "species", F.concat_ws("\t", CHROM, "species").alias(CHROM), START, END)
-    pairs = R.overlap_pairs(cut, R.merge(keyed))
-    return pairs.groupBy(key, "species").agg((F.sum("overlap") / F.max(F.col(END) - F.col(START))).alias("fraction"))
+    runs = R.merge(keyed).select(F.substring_index(CHROM, "\t", 1).alias(CHROM), F.substring_index(CHROM, "\t", -1).alias("species"), START, END)
+    pairs = R.overlap_pairs(regions.select(key, CHROM, START, END), runs, bring=["species"])
+    return pairs.groupBy(key, F.col("b_species").alias("species")).agg((F.sum("overlap") / F.max(F.col(END) - F.col(START))).alias("fraction"))
 
 
 def alignability(regions: DataFrame, aligned: DataFrame, missing: DataFrame, key: str, species: Sequence[str]) -> DataFrame:

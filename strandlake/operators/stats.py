@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import probability as P
 from strandlake.operators.chunking import running_totals
+from strandlake.session import BROADCAST_ROWS, small_side, stage
+
+
+#: Rows that share a value from which on the value isn't left to one task.
+HEAVY_TIES = 100_000
 
 
 def _rows(df: DataFrame, *values: str) -> DataFrame:
@@ -88,8 +93,18 @@ def ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     keys = list(keys)
     freq = item_freq(df, keys, x).withColumnRenamed("n", "ties")
     run = running_totals(freq, keys, [F.col(x)], ["ties"])
-    rank = run.select(*keys, x, "ties", (F.col("run_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"))
-    return _rows(df, x).join(rank, [*keys, x])
+    rank = stage(run.select(*keys, x, "ties", (F.col("run_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank")), "ranks").df
+    n, rows, on = rank.count(), _rows(df, x), [*keys, x]
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(rank), on)
+    # Values that many rows share are few: they are broadcast, so no task gets all rows of one.
+    heavy = rank.where(F.col("ties") > HEAVY_TIES)
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return rows.join(rank, on)
+    marked = rows.join(small_side(heavy, n_heavy), on, "left")
+    light = rank.where(F.col("ties") <= HEAVY_TIES)
+    return marked.where("ties is not null").unionByName(marked.where("ties is null").drop("ties", "rank").join(light, on))
 
 
 def trim(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[str], share: float, tail: str | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import alignment_queries, interval_queries, more_queries, problems, signal_queries, species_queries, stream_queries, table_queries
+from strandlake.plans import alignment_queries, interval_queries, more_queries, problems, signal_queries, source_queries, species_queries, stream_queries, table_queries
 
-_MODULES = (problems, interval_queries, alignment_queries, signal_queries, table_queries, more_queries, stream_queries, species_queries)
+_MODULES = (problems, interval_queries, alignment_queries, signal_queries, table_queries, more_queries, stream_queries, species_queries, source_queries)
 
 
 def queries() -> dict:

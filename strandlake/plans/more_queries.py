@@ -9,8 +9,10 @@ from strandlake.operators import motifs as M
 from strandlake.operators import ranges as R
 from strandlake.operators import sampling as O
 from strandlake.operators import signal as S
+from strandlake.plans import interval_queries
 from strandlake.plans.interval_queries import peaks_of
 from strandlake.plans.tables import table
+from strandlake.session import stage
 
 Q, SQL = {}, {}
 COUNTS = np.array([[8, 0, 1, 1], [0, 9, 1, 0], [1, 0, 9, 0], [0, 1, 0, 9], [2, 2, 3, 3]], float)
@@ -85,19 +87,34 @@ def line_select(spark, d):
     return O.select_by_flags(blocks.select("block_id"), ["block_id"], flags, ["at"], "f")
 
 
-@query()
+@query("select least(count(*), 100) n, least(count(*), 100) n_apart, least(count(*), 100) n_there from events")
 def random_sample(spark, d):
-    return O.sample_rows(table(spark, d, "events"), ["event_id"], 100, seed=7)
+    """How many rows are drawn, how many differ and how many are the table's."""
+    events = table(spark, d, "events").select("event_id")
+    drawn = stage(O.sample_rows(events, ["event_id"], 100, seed=7), "drawn").df
+    there = drawn.join(events, "event_id", "left_semi").agg(F.count("*").alias("n_there"))
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_apart")).join(there, F.lit(True))  # one row each
 
 
-@query()
+@query("select comp_id, length(text) n, array_to_string(list_sort(string_split(text, '')), '') letters from maf_component where length(text) > 0")
 def shuffle_columns(spark, d):
-    return O.shuffle_columns(table(spark, d, "maf_component"), seed=7)
+    """Every text keeps its letters."""
+    out = O.shuffle_columns(table(spark, d, "maf_component").where("length(text) > 0"), seed=7)
+    return out.select("comp_id", F.length("text").alias("n"), F.array_join(F.array_sort(F.split("text", "")), "").alias("letters"))
 
 
-@query()
+@query("""with b as (select block_id, max(length(text)) w from maf_component where length(text) > 0 group by 1)
+    select block_id, true size_ok, true inside_ok, true apart_ok, true whole_ok from b where w >= 100""")
 def random_chop(spark, d):
-    return O.random_chop(table(spark, d, "maf_component"), 50, seed=7)
+    """Pieces of 50 columns lie inside their block, one after another, and leave less than two pieces of it out."""
+    c = table(spark, d, "maf_component")
+    width = c.where("length(text) > 0").groupBy("block_id").agg(F.max(F.length("text")).alias("w")).where("w >= 100")
+    p = O.random_chop(c, 50, seed=7).join(width, "block_id").groupBy("block_id", "w")
+    low, high = F.min("low"), F.max("high")
+    return p.agg(
+        F.bool_and(F.col("high") - F.col("low") == 50).alias("size_ok"), ((low >= 0) & (high <= F.col("w"))).alias("inside_ok"),
+        (high - low == F.count_distinct("low") * 50).alias("apart_ok"), (F.col("w") - (high - low) < 100).alias("whole_ok"),
+    ).select("block_id", "size_ok", "inside_ok", "apart_ok", "whole_ok")
 
 
 def _spans(spark, d):
@@ -105,14 +122,25 @@ def _spans(spark, d):
     return rows.groupBy("chrom").agg(F.lit(0).cast("bigint").alias("start_pos"), (F.max("end_pos") * 3).alias("end_pos"))
 
 
-@query()
+_SET_A = interval_queries._BASE + interval_queries._MA
+
+
+@query(_SET_A + " select chrom, count(*) n, cast(sum(end_pos - start_pos) as bigint) bases, true inside, true apart from ma group by chrom")
 def random_intervals(spark, d):
-    return O.throw_random(R.merge(peaks_of(spark, d, "nar4")), _spans(spark, d), seed=7)
+    """Every chrom's lengths are placed, within its span and without overlap."""
+    spans = _spans(spark, d)
+    thrown = stage(O.throw_random(R.merge(peaks_of(spark, d, "nar4")), spans, seed=7), "thrown").df
+    apart = R.base_coverage(thrown).withColumnRenamed("bases", "covered")
+    width = F.sum(F.col("end_pos") - F.col("start_pos"))
+    placed = thrown.groupBy("chrom").agg(F.count("*").alias("n"), width.alias("bases"), F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
+    both = placed.join(apart, "chrom").join(spans, "chrom")
+    return both.select("chrom", "n", "bases", ((F.col("lo") >= F.col("start_pos")) & (F.col("hi") <= F.col("end_pos"))).alias("inside"), (F.col("covered") == F.col("bases")).alias("apart"))
 
 
-@query()
+@query(_SET_A + interval_queries._MB + interval_queries._BASES + " select cast(coalesce(sum(end_pos - start_pos), 0) as bigint) observed, true fine from ix")
 def permutation_test(spark, d):
-    return O.overlap_test(peaks_of(spark, d, "nar4"), peaks_of(spark, d, "nar3"), _spans(spark, d), samples=10, seed=7)
+    out = O.overlap_test(peaks_of(spark, d, "nar4"), peaks_of(spark, d, "nar3"), _spans(spark, d), samples=10, seed=7)
+    return out.select("observed", ((F.col("below") >= 0) & (F.col("below") <= 1) & (F.col("mean") >= 0) & (F.col("sd") >= 0)).alias("fine"))
 
 
 QUERIES = Q

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import alignment as L
 from strandlake.operators import ranges as R
 from strandlake.operators import species as A
+from strandlake.plans import alignment_queries
 from strandlake.plans.tables import table
 
 Q, SQL = {}, {}
@@ -82,7 +84,11 @@ def tile_plan(spark, d):
     return A.tile_plan(spans.withColumnRenamed("block_id", "region"), scored, "region")
 
 
-@query()
+@query(_REF + f""", ds as ({SQL["divergent_sites"]}), p as (select distinct species, chrom, unnest(range(start_pos, end_pos)) p from ds where species in ('oskMin1', 'vulTor2')),
+    nt as (select distinct chrom, unnest(range(start_pos, start_pos + (end_pos - start_pos) // 2)) p from rs), q as (select p.*, nt.p is not null ar from p left join nt using (chrom, p)),
+    k as (select block_id, species, count(*) n, count(*) filter (ar) m from rs join q on q.chrom = rs.chrom and q.p >= start_pos and q.p < end_pos group by 1, 2)
+    select rs.block_id, coalesce(a.n, 0) snp, coalesce(a.m, 0) ar_snp, coalesce(b.n, 0) div, coalesce(b.m, 0) ar_div from rs
+    left join k a on a.block_id = rs.block_id and a.species = 'oskMin1' left join k b on b.block_id = rs.block_id and b.species = 'vulTor2'""")
 def divergence_table(spark, d):
     c = table(spark, d, "maf_component")
     sites = A.divergent_sites(c)
@@ -90,7 +96,19 @@ def divergence_table(spark, d):
     windows = spans.select(F.col("block_id"), "chrom", "start_pos", "end_pos")
     one, other = sites.where("species = 'oskMin1'"), sites.where("species = 'vulTor2'")
     half = spans.withColumn("end_pos", F.expr("start_pos + (end_pos - start_pos) div 2"))
-    return A.divergence_table(windows, one, other, R.valid(half), "block_id")
+    return A.divergence_table(windows, one, other, R.valid(half), "block_id").select("block_id", "snp", "ar_snp", "div", "ar_div")
+
+
+@query(_REF + f""", i as ({alignment_queries.SQL["percent_identity"]}) select comp_id, src, chrom, rs.start_pos, rs.end_pos, i."identity"
+    from i join maf_component m using (comp_id) join rs using (block_id) where i."identity" > 0""")
+def covered_regions(spark, d):
+    return A.covered_regions(table(spark, d, "maf_component"))
+
+
+@query("""with c as (select block_id, i, count(*) filter (text[i] = '-') w from maf_component, unnest(range(1, length(text) + 1)) t(i) where length(text) > 0 group by 1, 2),
+    k as (select block_id from c group by 1 having count(*) filter (w <= 1) >= 50) select comp_id from maf_component join k using (block_id)""")
+def max_wildcards(spark, d):
+    return L.max_wildcards(table(spark, d, "maf_component"), min_good=50, max_wild=1, wild="-").select("comp_id")
 
 
 QUERIES = Q

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans import interval_queries
 from strandlake.plans.tables import table
-from strandlake.session import Staged, shared_dir
-from strandlake.streaming.intervals import event_windows, growing_runs
+from strandlake.session import Staged, shared_dir, stage
+from strandlake.streaming.intervals import event_windows, growing_runs, latest_runs
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -38,12 +39,15 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_growing_runs(spark: SparkSession, d: str) -> DataFrame:
-    out = _result(growing_runs(_stream(spark, d, "narrow_peak")), "update")
-    return out.groupBy("chrom", "bin", "start_pos").agg(F.max("end_pos").alias("end_pos"))
+    """The table comes as three files, one a batch."""
+    parts = stage(table(spark, d, "narrow_peak").select("chrom", "start_pos", "end_pos").repartition(3), "arriving")
+    stream = spark.readStream.schema(parts.df.schema).option("maxFilesPerTrigger", 1).parquet(parts.path)
+    return latest_runs(_result(growing_runs(stream), "update"))
 
 
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_growing_runs)}
 SQL = {
+    "stream_growing_runs": interval_queries.SQL["merge_intervals"],
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) w_start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "stream_sliding": """with e as (select *, unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) w_start from events)
         select w_start, count(*) n, round(sum(value), 4) total from e group by 1""",

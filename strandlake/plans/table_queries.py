@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import probability as P
+from strandlake.functions.sequence import finite
 from strandlake.operators import stats as Z
+from strandlake.operators.chunking import running_totals
 from strandlake.plans.tables import table
 
 Q, SQL = {}, {}
@@ -196,9 +199,17 @@ def trimmed_stats(spark, d):
     return _r(Z.trimmed(_ev(spark, d), ["event_type"], "value", 1, 20), 6, "t_mean", "t_var").select("event_type", "n", "t_mean", "t_var")
 
 
-@query()
+@query(f"""with m as ({_M}), c as (select e.event_type, count(value)::double n, avg(pow(value - m, 3)) / pow(var_pop(value), 1.5) b, avg(pow(value - m, 4)) / pow(var_pop(value), 2) k
+      from events e join m using (event_type) where value is not null group by 1),
+    s as (select *, b * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) be from c where n > 8),
+    w as (select *, sqrt(2 * (be - 1)) - 1 w2 from s), z as (select *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) zs,
+      (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) r from w),
+    a as (select *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) a from z), i as (select *, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) q from a),
+    t as (select *, (1 - 2 / (9 * a) - sign(q) * pow(abs(q), 1.0 / 3)) / sqrt(2 / (9 * a)) zk from i)
+    select event_type, cast(n as bigint) n, round(zs, 6) z_skew, round(zk, 6) z_kurt, round(zs * zs + zk * zk, 6) chi2, round(exp(-(zs * zs + zk * zk) / 2), 6) p from t""")
 def normality(spark, d):
-    return Z.normality(_ev(spark, d), ["event_type"], "value")
+    return _r(Z.normality(_ev(spark, d), ["event_type"], "value"), 6, "z_skew", "z_kurt", "chi2", "p")
 
 
 @query("""with k(a, b, cov, corr) as (select 'l_quantity', 'l_discount', covar_samp(l_quantity, l_discount), corr(l_quantity, l_discount) from lineitem union all
@@ -223,4 +234,94 @@ def session_windows(spark, d):
     return g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("s_start"), F.col("session_window.end").cast("timestamp_ntz").alias("s_end"), "n")
 
 
+@query("select event_type, count(value) n, round((avg(value) - 10) / (stddev_samp(value) / sqrt(count(value))), 6) t from events where value is not null group by 1")
+def ttest_1samp(spark, d):
+    return _r(Z.ttest_1samp(_ev(spark, d), ["event_type"], "value", 10.0), 6, "t").select("event_type", "n", "t")
+
+
+@query("""select l_returnflag, count(*) n, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 6) t from
+    (select l_returnflag, l_discount::double l_discount, l_tax::double l_tax from lineitem) group by 1""")
+def ttest_rel(spark, d):
+    return _r(Z.ttest_rel(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_tax"), 6, "t").select("l_returnflag", "n", "t")
+
+
+_SIGNED = f"""with d0 as (select l_returnflag k, l_quantity::double - l_linenumber * 9 d from lineitem), d1 as (select *, abs(d) a from d0 where d <> 0),
+    r as (select *, {_RANK.format(k='k', x='a')} rk from d1)"""
+
+
+@query(_SIGNED + """, w as (select k, count(*)::double n, least(coalesce(sum(rk) filter (d > 0), 0), coalesce(sum(rk) filter (d < 0), 0)) w from r group by 1)
+    select k l_returnflag, cast(n as bigint) n, w, round(abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) z from w""")
+def wilcoxon(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"), (F.col("l_linenumber") * 9).cast("double").alias("m"))
+    return _r(Z.wilcoxon(rows, ["l_returnflag"], "q", "m"), 6, "z").select("l_returnflag", "n", "w", "z")
+
+
+@query(_RK + f""", a as (select count(*) filter ({_CLICK})::double n1, count(*) filter (not ({_CLICK}))::double n2, sum(rk) filter ({_CLICK}) s from r)
+    select cast(n1 as bigint) n1, cast(n2 as bigint) n2, round((s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) z from a""")
+def rank_sums(spark, d):
+    return _r(Z.rank_sums(_ev(spark, d), [], "value", F.col("event_type") == "click"), 6, "z").select("n1", "n2", "z")
+
+
+_BLOCKS = "select o_custkey, o_orderpriority, avg(o_totalprice)::double v from orders group by 1, 2"
+
+
+@query(f"""with v as ({_BLOCKS}), f as (select * from v where o_custkey in (select o_custkey from v group by 1 having count(*) = 5)),
+    r as (select *, {_RANK.format(k='o_custkey', x='v')} rk from f), g as (select o_orderpriority, sum(rk) s, count(*)::double n from r group by 1),
+    a as (select count(*)::double k, max(n) n, sum(s * s) q from g)
+    select cast(k as bigint) k, cast(n as bigint) n, round(12 / (k * n * (k + 1)) * q - 3 * n * (k + 1), 6) chi2 from a""")
+def friedman(spark, d):
+    v = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.avg("o_totalprice").cast("double").alias("v"))
+    whole = v.groupBy("o_custkey").agg(F.count("*").alias("k")).where("k = 5").select("o_custkey")
+    return _r(Z.friedman(v.join(whole, "o_custkey", "left_semi"), "o_custkey", "o_orderpriority", "v"), 6, "chi2").select("k", "n", "chi2")
+
+
+@query("""with s as (select event_type, count(value)::double n, var_samp(value) v, avg(value) m from events where value is not null group by 1)
+    select event_id, round(((n - 1.5) * n * (value - m) * (value - m) - 0.5 * v * (n - 1)) / ((n - 1) * (n - 2)), 5) r from events join s using (event_type) where value is not null and n > 2""")
+def obrien(spark, d):
+    return _r(Z.obrien(_ev(spark, d), "event_type", "value"), 5, "r").where("r is not null").select("event_id", "r")
+
+
+@query(_H.format(n=10) + " select event_type, round((cum - n + ((12.5 - ll) / bs - bin) * n) / total * 100, 5) pct from h where 12.5 >= ll + bs * bin and 12.5 < ll + bs * (bin + 1)")
+def percentile_of_score(spark, d):
+    return _r(Z.percentile_of_score(_ev(spark, d), ["event_type"], "value", 12.5), 5, "pct")
+
+
+@query(f"select round(corr(case when {_CLICK} then 1.0 else 0.0 end, value), 6) r, count(*) n from events where value is not null")
+def point_biserial(spark, d):
+    rows = _ev(spark, d).withColumn("is_click", (F.col("event_type") == "click").cast("int"))
+    return _r(Z.point_biserial(rows, [], "is_click", "value"), 6, "r").select("n", "r")
+
+
+@query("select event_type, round(sum(value), 3) total, round(sum(value * value), 3) ss, round(sum(value) * sum(value), 1) square_of_sum from events where value is not null group by 1")
+def value_sums(spark, d):
+    out = Z.describe(_ev(spark, d), ["event_type"], "value").select("event_type", "total", "ss", "square_of_sum")
+    return _r(_r(out, 3, "total", "ss"), 1, "square_of_sum")
+
+
+@query("""with v as (select event_id, abs(value) x from events where value is not null) select event_id, round(exp(-x / 2), 6) chi2_p, round(1 - 2 / pi() * atan(x), 6) t_p,
+    round(pow(1 + x / 5, -5.0), 6) f_p from v""")
+def tail_probabilities(spark, d):
+    """Tails that have a closed form: chi-square with 2, t with 1, F with 2 and 10 degrees of freedom."""
+    x = F.abs("value")
+    one = lambda n: F.lit(float(n))
+    rows = _ev(spark, d).where("value is not null").withColumn("x", x)
+    out = rows.select("event_id", P.chi2_p("x", one(2)).alias("chi2_p"), P.t_p("x", one(1)).alias("t_p"), P.f_p("x", one(2), one(10)).alias("f_p"))
+    return _r(out, 6, "chi2_p", "t_p", "f_p")
+
+
+@query("""select rec_id, signalvalue is not null and not isnan(signalvalue) and not isinf(signalvalue) finite, coalesce(isnan(signalvalue), false) nan,
+    coalesce(isinf(signalvalue), false) inf from narrow_peak""")
+def number_kinds(spark, d):
+    v = F.col("signalvalue")
+    return table(spark, d, "narrow_peak").select(
+        "rec_id", F.coalesce(finite(v), F.lit(False)).alias("finite"), F.coalesce(F.isnan(v), F.lit(False)).alias("nan"), F.coalesce(F.abs(v) == float("inf"), F.lit(False)).alias("inf")
+    )
+
+
+@query("select o_orderkey, row_number() over (order by o_orderdate, o_totalprice desc, o_orderkey) row_no from orders")
+def sort_columns(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return running_totals(rows, [], [F.col("o_orderdate"), F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "row_no")
+
+
 QUERIES = Q

@@ -71,8 +71,10 @@ def read_maf(spark: SparkSession, path: str, *, e_rows: bool = True) -> DataFram
     each = rec.select("block_id", "lines", F.when(score != "", score.try_cast("double")).alias("score"), F.posexplode("lines").alias("i", "line"))
     kinds = "[se]" if e_rows else "s"
     each = with_once(each.where(F.rlike("line", F.lit(rf"\A{kinds}\s"))), "c", F.split(F.trim("line"), r"\s+"))
-    # Rows of neighbours and qualities follow their sequence's row.
-    near = F.filter(F.slice("lines", F.col("i") + 2, F.lit(2)), lambda x: F.split(F.trim(x), r"\s+")[1] == F.col("c")[1])
+    # Rows of neighbours and qualities follow their sequence's row directly.
+    own = lambda x: F.rlike(x, F.lit(r"\A[iq]\s")) & (F.split(F.trim(x), r"\s+")[1] == F.col("c")[1])
+    one, two = (F.get("lines", F.col("i") + k) for k in (1, 2))
+    near = F.filter(F.array(F.when(own(one), one), F.when(own(one) & own(two), two)), lambda x: x.isNotNull())
     info = with_once(each, "n", near)
     i_row = F.split(F.trim(F.get(F.filter("n", lambda x: F.startswith(x, F.lit("i"))), F.lit(0))), r"\s+")
     q_row = F.get(F.filter("n", lambda x: F.startswith(x, F.lit("q"))), F.lit(0))
