@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,6 +242,95 @@ def pair_score(text0: Column, text1: Column, matrix: Mapping[tuple[str, str], in
     return F.aggregate(joined, start, step, lambda s: s["score"])
 
 
+def parse_scheme(text: str, gap_open: int | None = None, gap_extend: int | None = None) -> tuple[dict[tuple[str, str], int], int, int]:
+    """Scores by pair of upper-case letters, gap opening and gap extension, from the text of a scoring scheme.
+
+    A line of column letters, then rows of numbers, each with its letter before them or, without one, in
+    the order of the columns. ``O = n`` and ``E = n`` give the gap costs, ``#`` begins a remark.
+    """
+    columns: list[str] = []
+    scores: dict[tuple[str, str], int] = {}
+    costs, n_rows = {"O": gap_open, "E": gap_extend}, 0
+    for raw in text.splitlines():
+        line = raw.split("#")[0].strip()
+        if not line:
+            continue
+        if "=" in line:
+            for part in line.replace(",", " ").replace(" =", "=").replace("= ", "=").split():
+                name, _, value = part.partition("=")
+                if costs.get(name.upper(), 0) is None:
+                    costs[name.upper()] = int(value)
+            continue
+        cells = line.split()
+        if not columns:
+            columns = [c.upper() for c in cells]
+            continue
+        named = not cells[0].lstrip("-").isdigit()
+        letter = cells[0].upper() if named else columns[n_rows]
+        values = cells[1:] if named else cells
+        if len(values) != len(columns):
+            raise ValueError(f"a row of the scheme has {len(values)} scores for {len(columns)} letters")
+        scores |= {(letter, c): int(v) for c, v in zip(columns, values)}
+        n_rows += 1
+    if not scores or None in costs.values():
+        raise ValueError("the scheme lacks scores or gap costs")
+    return scores, costs["O"], costs["E"]
+
+
+def running_scores(
+    df: DataFrame, keys: Sequence[str], text0: str, text1: str, matrix: Mapping[tuple[str, str], int], gap_open: int, gap_extend: int, *, skip_gaps: bool = False
+) -> DataFrame:
+    """keys and ``scores``: the score of the two texts up to each column, columns of gaps only adding nothing.
+
+    With ``skip_gaps`` columns in which the first text has a gap have no entry. Null texts and texts of
+    different lengths give null, empty ones an empty list. One pass over byte arrays for each row.
+    """
+    table = np.zeros((256, 256), "int64")
+    for (a, b), s in matrix.items():
+        table[ord(a), ord(b)] = int(s)
+
+    def scores(a: str, b: str) -> np.ndarray:
+        x, y = (np.frombuffer(t.upper().encode("latin-1", "replace"), "uint8") for t in (a, b))
+        g0, g1 = x == 45, y == 45
+        at = np.flatnonzero(~(g0 & g1))
+        p0, p1 = g0[at], g1[at]
+        opens0, opens1 = (p & ~np.append(False, p[:-1]) for p in (p0, p1))
+        gap = np.where(p0, gap_extend + gap_open * opens0, gap_extend + gap_open * opens1)
+        one = np.zeros(len(x), "int64")
+        one[at] = np.where(p0 | p1, -gap, table[x[at], y[at]])
+        total = np.cumsum(one)
+        return total[~g0] if skip_gaps else total
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [scores(a, b) if a is not None and b is not None and len(a) == len(b) else None for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.list_(pa.int64()))], names=[*keys, "scores"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(F.col(text0).alias("_sl_0"), F.col(text1).alias("_sl_1"), *keys).mapInArrow(work, f"{kinds}, scores array<bigint>")
+
+
+def mask_runs(flags: Column) -> Column:
+    """Runs of equal values of an array, as array of (value, start, end), half-open.
+
+    ``flags`` should be a column that is there, not an expression, which would be computed for every place.
+    """
+    n = F.size(flags)
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    starts = F.filter(at, lambda i: (n > 0) & ((i == 0) | ~F.get(flags, i).eqNullSafe(F.get(flags, i - 1))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>")))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(flags, s).alias("value"), s.alias("start"), e.alias("end")))
+
+
+def by_source(components: DataFrame, src: str, *, prefix: bool = False) -> DataFrame:
+    """The first component of each block whose source has that name, or begins with it."""
+    fits = F.startswith("src", F.lit(src)) if prefix else F.col("src") == src
+    names = [c for c in components.columns if c != BLOCK]
+    first = [c for c in (NO, "comp_id") if c in names]
+    item = F.struct(*first, *[c for c in names if c not in first])
+    return components.where(fits).groupBy(BLOCK).agg(F.min(item).alias("c")).select(*[F.col(BLOCK) if c == BLOCK else F.col("c")[c].alias(c) for c in components.columns])
+
+
 def cpg_columns(text0: Column, text1: Column, kind: str = "inclusive") -> Column:
     """Boolean per column: it is part of a CpG in either (``inclusive``) or in both texts (``restricted``).
 

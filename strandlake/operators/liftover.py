@@ -62,3 +62,16 @@ def liftover(elements: DataFrame, blocks: DataFrame, key: str, *, max_gap: int |
     width = elements.select(key, (F.col(R.END) - F.col(R.START)).alias("_sl_width"))
     kept = one.join(width, key).where(F.col("mapped") >= F.col("_sl_width") * threshold)
     return kept.select(key, "chain_id", R.CHROM, R.START, R.END, "n_blocks", "mapped")
+
+
+def chain_side(chains: DataFrame, side: str, *, forward: bool = False) -> DataFrame:
+    """chrom, start_pos, end_pos, name (the chain's id), score, strand of the target's (``t``) or query's (``q``) side of chains.
+
+    ``forward`` counts positions from the forward strand's beginning whatever the strand.
+    """
+    start, end, size = (F.col(f"{side}_{c}") for c in ("start", "end", "size"))
+    turned = F.lit(forward) & (F.col(f"{side}_strand") == "-")
+    return chains.select(
+        F.col(f"{side}_name").alias("chrom"), F.when(turned, size - end).otherwise(start).alias("start_pos"), F.when(turned, size - start).otherwise(end).alias("end_pos"),
+        F.col("chain_id").cast("string").alias("name"), "score", F.col(f"{side}_strand").alias("strand"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import sequence as S
 from strandlake.operators import alignment as L
 from strandlake.plans.tables import table
+from strandlake.session import with_once
 
 Q, SQL = {}, {}
 CODES = {"A": 0, "C": 1, "G": 2, "T": 3}
@@ -177,6 +178,34 @@ def pair_score(spark, d):
     return p.select("comp_id", L.pair_score(F.col("text0"), F.col("text1"), MATRIX, GAP_OPEN, GAP_EXTEND).alias("score"))
 
 
+@query(_PAIRS + f""", k as (select comp_id, i, c0, c1, c0 = '-' g0, c1 = '-' g1 from cols where not (c0 = '-' and c1 = '-')),
+    s as (select *, lag(g0) over w p0, lag(g1) over w p1 from k window w as (partition by comp_id order by i)),
+    u as (select comp_id, i, g0, sum(case when g0 then -({GAP_EXTEND} + case when coalesce(p0, false) then 0 else {GAP_OPEN} end)
+    when g1 then -({GAP_EXTEND} + case when coalesce(p1, false) then 0 else {GAP_OPEN} end) else {_SCORE} end) over (partition by comp_id order by i) score from s),
+    n as (select comp_id, score, row_number() over (partition by comp_id order by i) - 1 col from u where not g0)
+    select comp_id, col, cast(score as bigint) score from n where col % 100 = 0""")
+def running_scores(spark, d):
+    """Every 100th score along the reference's bases."""
+    out = L.running_scores(L.pairs_with_first(comps(spark, d)), ["comp_id"], "text0", "text1", MATRIX, GAP_OPEN, GAP_EXTEND, skip_gaps=True)
+    return out.select("comp_id", F.posexplode("scores").alias("col", "score")).where("col % 100 = 0").select("comp_id", F.col("col").cast("bigint").alias("col"), "score")
+
+
+@query("""with c as (select comp_id, i, text[i] = '-' v from maf_component, unnest(range(1, length(text) + 1)) t(i) where length(text) > 0),
+    g as (select *, i - row_number() over (partition by comp_id, v order by i) g from c)
+    select comp_id, v gap, cast(min(i) - 1 as int) col_start, cast(max(i) as int) col_end from g group by comp_id, v, g""")
+def mask_runs(spark, d):
+    flags = F.transform(L.S.chars(F.col("text")), lambda c: c == "-")
+    masks = with_once(comps(spark, d).where("length(text) > 0").select("comp_id", "text"), "mask", flags)
+    runs = masks.select("comp_id", F.inline(L.mask_runs(F.col("mask"))))
+    return runs.select("comp_id", F.col("value").alias("gap"), F.col("start").alias("col_start"), F.col("end").alias("col_end"))
+
+
+@query("""with f as (select *, row_number() over (partition by block_id order by comp_no, comp_id) k from maf_component where starts_with(src, 'vulTor2.'))
+    select block_id, comp_id, src, start_pos from f where k = 1""")
+def component_by_source(spark, d):
+    return L.by_source(comps(spark, d), "vulTor2.", prefix=True).select("block_id", "comp_id", "src", "start_pos")
+
+
 @query()
 def fuse_blocks(spark, d):
     return L.fuse(comps(spark, d))

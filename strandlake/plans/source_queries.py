@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import genes as G
+from strandlake.operators import liftover as C
 from strandlake.operators import ranges as R
 from strandlake.plans.tables import table, usable
 from strandlake.session import shared_dir
@@ -184,10 +185,29 @@ def io_features(spark, d):
     from chrom_size where name is not null and length is not null""")
 def io_transfac(spark, d):
     sizes = table(spark, d, "chrom_size").where("name is not null and length is not null")
-    text = F.format_string(
-        "AC  %s\nXX\nID  m%d\nXX\nNA  a motif\nDE  of %s\nBF  T1; x\nP0 A C G T\n01 %d 1 2.5 0 N\n02 0 %d 0 1 N\nXX\n//", "name", "length", "name", F.col("length") % 7, F.col("length") % 5
-    )
-    return Q_.read_transfac(spark, _file(text, sizes)).select("accession", "motif_id", "name", "description", "counts")
+    row = lambda *v: F.array(*[x.cast("double") for x in v])
+    counts = F.array(row(F.col("length") % 7, F.lit(1), F.lit(2.5), F.lit(0)), row(F.lit(0), F.col("length") % 5, F.lit(0), F.lit(1)))
+    motifs = sizes.select(
+        F.col("name").alias("accession"), F.concat(F.lit("m"), F.col("length").cast("string")).alias("motif_id"), F.concat(F.lit("of "), "name").alias("description"),
+        F.lit("a motif").alias("name"), counts.alias("counts"),
+    )
+    return Q_.read_transfac(spark, _file(K.transfac_records(motifs))).select("accession", "motif_id", "name", "description", "counts")
+
+
+@query("select chrom, start_pos, end_pos, nullif(id, '.') name, cast(score as double) score from narrow_peak where chrom is not null and start_pos >= 0 and end_pos >= start_pos")
+def io_bed(spark, d):
+    rows = table(spark, d, "narrow_peak").where("chrom is not null and start_pos >= 0 and end_pos >= start_pos")
+    return T.read_bed(spark, _file(T.render([F.col(c) for c in ("chrom", "start_pos", "end_pos", "id", "score")]), rows))
+
+
+@query(f"""select 'q' chrom, 1000 - 500 start_pos, 1000 - 500 + (end_pos - start_pos) // 2 * 2 end_pos, cast(rec_id as varchar) name, 1.0 score, '-' strand {_EPO} and end_pos - start_pos between 2 and 999
+    union all select chrom, start_pos, end_pos, cast(rec_id as varchar), 1.0, '+' {_EPO} and end_pos - start_pos between 2 and 999""")
+def chain_sides(spark, d):
+    rows = table(spark, d, "narrow_peak").where("chrom is not null and start_pos >= 0 and end_pos - start_pos between 2 and 999").withColumn("h", F.expr("(end_pos - start_pos) div 2"))
+    at = F.lit(500) - F.col("h") * 2
+    text = F.format_string("chain 1 %s 999999999999 + %d %d q 1000 - %d %d %d\n%d %d 0\n%d\n", "chrom", "start_pos", "end_pos", at, at + F.col("h") * 2, "rec_id", "h", F.col("end_pos") - F.col("start_pos") - F.col("h") * 2, "h")
+    chains = X.read_chains(spark, _file(text, rows))
+    return C.chain_side(chains, "q", forward=True).unionByName(C.chain_side(chains, "t"))
 
 
 @query("select * from (values (0, null, null, null), (1, 0, 'x', 0.5), (2, 1, 'a', 1.0), (3, 1, 'it''s b', 2.25), (4, 0, 'c', 3.0)) t(id, parent, label, length)")

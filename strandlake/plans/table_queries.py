@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import probability as P
 from strandlake.functions.sequence import finite
 from strandlake.operators import stats as Z
+from strandlake.operators import tables as B
 from strandlake.operators.chunking import running_totals
 from strandlake.plans.tables import table
 
@@ -324,4 +325,17 @@ def sort_columns(spark, d):
     return running_totals(rows, [], [F.col("o_orderdate"), F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "row_no")
 
 
+@query("select l_orderkey, l_linenumber, 'all' rule from lineitem where l_returnflag = 'R' and l_linenumber = 1 union all select l_orderkey, l_linenumber, 'any' from lineitem where l_returnflag = 'R' or l_linenumber = 1")
+def rows_that_match(spark, d):
+    rows, wanted = table(spark, d, "lineitem"), {"l_returnflag": "R", "l_linenumber": 1}
+    both = B.where_all(rows, wanted).withColumn("rule", F.lit("all")).unionByName(B.where_any(rows, wanted).withColumn("rule", F.lit("any")))
+    return both.select("l_orderkey", "l_linenumber", "rule")
+
+
+@query("select user_id, round(max(value) - min(value), 6) spread, cast(count(value) as double) n from events where value is not null group by user_id")
+def collapse_own_function(spark, d):
+    functions = {"spread": ("value", lambda v: v.max() - v.min()), "n": ("value", lambda v: v.count())}
+    return _r(B.collapse(_ev(spark, d).where("value is not null"), ["user_id"], functions), 6, "spread")
+
+
 QUERIES = Q

@@ -80,6 +80,15 @@ def maf_to_fasta(components: DataFrame, width: int = 60) -> DataFrame:
     return fasta_records(components.where(F.col("text").isNotNull()).withColumn("_sl_h", head), "_sl_h", "text", width)
 
 
+def transfac_records(motifs: DataFrame) -> DataFrame:
+    """The text of every motif (accession, motif_id, name, description, counts: rows of A C G T); null fields have no line."""
+    line = lambda tag, c: F.concat(F.lit(f"{tag}  "), F.col(c))
+    row = lambda r, i: F.concat(F.lpad((i + 1).cast("string"), 2, "0"), F.lit(" "), F.array_join(F.transform(r, lambda v: v.cast("string")), " "))
+    heads = [line("AC", "accession"), F.lit("XX"), line("ID", "motif_id"), F.lit("XX"), line("NA", "name"), line("DE", "description")]
+    body = F.array_join(F.transform("counts", row), "\n")
+    return motifs.select(F.concat_ws("\n", *heads, F.lit("P0 A C G T"), body, F.lit("XX"), F.lit("//")).alias("value"))
+
+
 def bed12(df: DataFrame, key: str, chrom: str = "chrom") -> DataFrame:
     """One BED12 line per key from its pieces (chrom, start_pos, end_pos), in position order."""
     p = df.groupBy(key, chrom).agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("p"), F.min("start_pos").alias("s"), F.max("end_pos").alias("e"))

@@ -86,6 +86,12 @@ def read_intervals(spark: SparkSession, path: str, *, strict: bool = False, leng
     return good.join(sizes, F.col("chrom") == F.col("_sl_n"), "left").where(F.col("end_pos") <= F.coalesce("_sl_l", F.lit(2**62))).drop("_sl_n", "_sl_l")
 
 
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start_pos, end_pos, name, score of the good rows; name and score are null where a row lacks them or has ``.``."""
+    field = lambda i: F.nullif(F.get("fields", F.lit(i)), F.lit("."))
+    return read_intervals(spark, path, strand=None).select("chrom", "start_pos", "end_pos", field(3).alias("name"), field(4).try_cast("double").alias("score"))
+
+
 def bad_intervals(spark: SparkSession, path: str, **layout) -> DataFrame:
     return parse_intervals(spark.read.text(path), **layout).where("error is not null")
 
