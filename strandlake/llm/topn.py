@@ -4,7 +4,7 @@ Rows are written once in files clustered by group: a file holds a range of (grou
 so a group is in one file unless it is large. Within a file a row group holds one band of ranks (a
 group's first 4 rows, its next 8, its next 16, ...), of one large group or of many small ones, so the
 maxima of every group descend from band to band. The index keeps for every row group the highest score
-of each group in it. Row groups are read in descending maximum score, and one is skipped where every
+of each group in it. Row groups are read by band, within a band in descending maximum score, and one is skipped where every
 contained group's highest score is strictly below that group's current N-th score. Files that only
 continue a large group wait until the N-th score of its first file is known; most are then never opened.
 """
