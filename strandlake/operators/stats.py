@@ -129,7 +129,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """1 - 6 sum of squared rank differences / n (n^2 - 1)."""
     rx = ranks(_rows(df, x, y), keys, x).withColumnRenamed("rank", "_sl_rx").drop("ties")
     both = ranks(rx, keys, y).withColumn("_sl_d", F.col("_sl_rx") - F.col("rank"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # n (n^2 - 1) is more than a bigint holds beyond 2,097,152 rows
     return both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_sl_d") * F.col("_sl_d")).alias("d2")).select(
         *keys, "n", F.when(n > 1, 1 - 6 * F.col("d2") / (n * (n * n - 1))).alias("rho")
     )

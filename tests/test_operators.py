@@ -52,6 +52,16 @@ def test_statistics(spark):
     assert Z.friedman(blocks, "b", "k", "x").collect()[0]["n"] == 6
 
 
+def test_spearman_of_large_groups(spark):
+    # The cube of n is beyond a bigint in one group; in each the pairs (id % 2, id % 3) are equally many, so rho tends to 13 / 72.
+    n, few = 2_100_000, 6_000
+    df = spark.range(n + few).selectExpr(f"if(id < {n}, 'large', 'small') g", "id % 2 x", "id % 3 y")
+    got = {r["g"]: (r["n"], r["rho"]) for r in Z.spearman(df, ["g"], "x", "y").collect()}
+    assert {g: k for g, (k, _) in got.items()} == {"large": n, "small": few}
+    for k, rho in got.values():
+        assert rho == pytest.approx(1 - 59 / 72 * k**3 / (k**3 - k), abs=1e-12)
+
+
 def test_genes(spark):
     g = spark.createDataFrame(
         [(1, "c", "+", 100, 200, 115, 184, [10, 20, 30], [0, 15, 70]), (2, "c", "-", 100, 200, 115, 184, [10, 20, 30], [0, 15, 70]), (3, "c", "+", 0, 9, 0, 0, [9], [0])],
